@@ -103,7 +103,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 4 << 20):
+def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of about ``most`` bytes, so that arrays made from them stay small."""
     first, n = 0, len(offsets) - 1
     while first < n:

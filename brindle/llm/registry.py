@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import decontam, html, packing, pii, secrets, sql, toxicity, warc
 from .neardup import near_duplicates
 
 
@@ -12,13 +12,51 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_supervision_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_read(spark, d, "documents")))
+
+
+def op2_minhash_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.find_contamination(_read(spark, d, "documents"), _read(spark, d, "benchmark"))
+
+
+def op3_page_differencing(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract(_read(spark, d, "pages"))
+
+
+def op4_arc_to_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(_read(spark, d, "pages"))
+
+
+def op6_lexicon_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scored(_read(spark, d, "documents"), _read(spark, d, "labels"))
+
+
+def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_read(spark, d, "documents"))
+
+
+def op8_trigram_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_read(spark, d, "documents")))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_read(spark, d, "documents"))
 
 
 QUERIES = {
+    "op1_weak_supervision_pii": op1_weak_supervision_pii,
+    "op2_minhash_decontamination": op2_minhash_decontamination,
+    "op3_page_differencing": op3_page_differencing,
+    "op4_arc_to_warc": op4_arc_to_warc,
+    "op6_lexicon_toxicity": op6_lexicon_toxicity,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_trigram_secrets": op8_trigram_secrets,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES = {
+    "op2_minhash_decontamination": sql.OP2,
+    "op4_arc_to_warc": sql.OP4,
+    "op8_trigram_secrets": sql.OP8,
     "op9_minhash_near_dedup": sql.OP9,
 }
