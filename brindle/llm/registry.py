@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, packing, pii, secrets, sql, toxicity, warc
+from . import decontam, embeddings, html, packing, pii, secrets, sql, substring, toxicity, warc
 from .neardup import near_duplicates
 
 
@@ -28,6 +28,10 @@ def op4_arc_to_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(_read(spark, d, "pages"))
 
 
+def op5_int8_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, d, "embeddings"))
+
+
 def op6_lexicon_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(_read(spark, d, "documents"), _read(spark, d, "labels"))
 
@@ -44,19 +48,26 @@ def op9_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_read(spark, d, "documents"))
 
 
+def op10_compact_window_passages(spark: SparkSession, d: str) -> DataFrame:
+    return substring.repeated_passages(_read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_minhash_decontamination": op2_minhash_decontamination,
     "op3_page_differencing": op3_page_differencing,
     "op4_arc_to_warc": op4_arc_to_warc,
+    "op5_int8_embedding_dedup": op5_int8_embedding_dedup,
     "op6_lexicon_toxicity": op6_lexicon_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_compact_window_passages": op10_compact_window_passages,
 }
 ORACLES = {
     "op2_minhash_decontamination": sql.OP2,
     "op4_arc_to_warc": sql.OP4,
+    "op5_int8_embedding_dedup": sql.OP5,
     "op8_trigram_secrets": sql.OP8,
     "op9_minhash_near_dedup": sql.OP9,
 }

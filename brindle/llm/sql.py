@@ -61,3 +61,13 @@ def _op8() -> str:
 
 
 OP8 = _op8()
+
+OP5 = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+  reached AS (SELECT vec_id AS node, vec_id AS c FROM embeddings UNION SELECT r.node, p.b FROM reached r JOIN pairs p ON r.c = p.a),
+  lowest AS (SELECT node, min(c) AS component_id FROM reached GROUP BY node),
+  counted AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+  SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+  FROM embeddings JOIN lowest ON node = vec_id LEFT JOIN counted ON a = vec_id"""
