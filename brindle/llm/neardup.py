@@ -175,7 +175,7 @@ def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
 
 
 #: Of a block of documents: how many, and how many bytes of shingles.
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
 
 
 def _shingle_sets(rows: DataFrame, n: int) -> DataFrame:
