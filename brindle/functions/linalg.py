@@ -36,18 +36,22 @@ def _udf(kind: str, f: Callable, n: int = 1):
         except np.linalg.LinAlgError:
             return None
 
-    if n == 1:
+    def run(*columns):
+        # Made when it is used: tasks import this module without a session.
+        if n == 1:
 
-        @F.pandas_udf(kind)
-        def run(a: pd.Series) -> pd.Series:
-            return pd.Series([one(x) for x in a], dtype=object)
-    else:
+            @F.pandas_udf(kind)
+            def call(a: pd.Series) -> pd.Series:
+                return pd.Series([one(x) for x in a], dtype=object)
+        else:
 
-        @F.pandas_udf(kind)
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+            @F.pandas_udf(kind)
+            def call(a: pd.Series, b: pd.Series) -> pd.Series:
+                return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
-    return lambda *columns: run(*(F.col(c) if isinstance(c, str) else c for c in columns))
+        return call(*(F.col(c) if isinstance(c, str) else c for c in columns))
+
+    return run
 
 
 cholesky = _udf(MATRIX, lambda a: _rows(np.linalg.cholesky(_matrix(a))))
@@ -69,14 +73,13 @@ lstsq = _udf(VECTOR, lambda a, b: np.linalg.lstsq(_matrix(a), np.asarray(b, floa
 norm_nuc = _udf("double", lambda a: float(np.linalg.norm(_matrix(a), "nuc")))
 norm_2 = _udf("double", lambda a: float(np.linalg.norm(_matrix(a), 2)))
 
-@F.pandas_udf("sign double, logdet double")
-def _slogdet(a: pd.Series) -> pd.DataFrame:
-    found = [np.linalg.slogdet(_matrix(x)) if x is not None else (None, None) for x in a]
-    return pd.DataFrame(found, columns=["sign", "logdet"])
-
-
 def slogdet(a) -> Column:
-    return _slogdet(F.col(a) if isinstance(a, str) else a)
+    @F.pandas_udf("sign double, logdet double")
+    def call(m: pd.Series) -> pd.DataFrame:
+        found = [np.linalg.slogdet(_matrix(x)) if x is not None else (None, None) for x in m]
+        return pd.DataFrame([tuple(x) for x in found], columns=["sign", "logdet"])
+
+    return call(F.col(a) if isinstance(a, str) else a)
 
 
 def least_squares(df: DataFrame, features: Sequence[str], target: str, intercept: bool = True) -> np.ndarray:

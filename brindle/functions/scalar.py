@@ -159,14 +159,14 @@ def clamp(a, low=None, high=None) -> Column:
     return a if high is None else minimum(a, high)
 
 
-@F.pandas_udf("double")
-def _erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf, na_action="ignore")
-
-
 def erf(a) -> Column:
     """The error function (Arrow batches; Spark has none built in)."""
-    return _erf(_d(a))
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(math.erf, na_action="ignore")
+
+    return run(_d(a))
 
 
 # --- comparison and logic -----------------------------------------------------

@@ -1,41 +1,4 @@
-"""The registered queries of the library: each a Spark query and, where SQL can say it, the same in SQL."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and its SQL under a name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "filter_high_value",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 4) AS total, count(*) AS n,
-              round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std
-       FROM lineitem WHERE l_extendedprice > 1200 AND l_quantity >= 3 AND l_returnflag = 'R' GROUP BY ALL""",
-)
-def filter_high_value(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").where("l_extendedprice > 1200 and l_quantity >= 3 and l_returnflag = 'R'")
-    x = F.col("l_extendedprice")
-    return t.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum(x), 4).alias("total"), F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"))
+from . import arrays, events, metrics, tables, text  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
