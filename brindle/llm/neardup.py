@@ -225,54 +225,75 @@ def _tiled(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches
     A group is dealt into blocks, and each pair of blocks is a tile: signatures
     are compared first, then full sets. A tile returns a spanning forest.
     """
-    from .embeddings import Forest
-
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     full = materialize(_shingle_sets(only(source, rest, "id"), n).join(rest, "id"), "rest-sets")
     sizes = full.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     dealt = full.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
-    def gather(table: pa.Table) -> pa.Table:
-        first = lambda c: table.column(c).slice(0, 1)
-        long = lambda x: pa.array([np.asarray(x, np.int64).tobytes()], pa.binary())
-        raw = table.column("set").to_pylist()
-        sig = np.array(table.column("sig").to_pylist(), np.int32)
-        return pa.table([first("grp"), first("blocks"), first("block"), long(table.column("id")), long(table.column("comp")), pa.array([sig.tobytes()], pa.binary()), long([len(x) // 8 for x in raw]), pa.array([b"".join(raw)], pa.binary())], ["grp", "blocks", "block", "ids", "comps", "sigs", "sizes", "sets"])
-
-    blocks = materialize(dealt.select("grp", "blocks", "block", "id", "comp", "sig", "set").groupBy("grp", "blocks", "block").applyInArrow(gather, "grp long, blocks int, block int, ids binary, comps binary, sigs binary, sizes binary, sets binary"), "blocks")
-    parts = ("ids", "comps", "sigs", "sizes", "sets")
-    left = blocks.select("grp", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("block").alias("from"), *(F.col(c).alias(f"{c}_a") for c in parts))
+    # Each row goes to the tiles of its block, one small row a document: tiles are put together in Python.
+    other = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = other.select("grp", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "id", "comp", "sig", "set")
+    keys = ("grp", "low", "high")
 
     def compare(batches):
+        at, held = None, []
+
+        def settle():
+            """The links of the tile held."""
+            low, high = at[1], at[2]
+            block, ids, comps, sig, sets = (sum((x[i] for x in held), []) if i == 4 else np.concatenate([x[i] for x in held]) for i in range(5))
+            a = np.flatnonzero(block == low)
+            b = a if low == high else np.flatnonzero(block == high)
+            return _tile_links(*((comps[x], sig[x], [sets[i] for i in x.tolist()]) for x in (a, b)), matches, percent, low == high)
+
+        def pack(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
         for batch in batches:
-            for r in range(batch.num_rows):
-                sides = []
-                for end in ("_a", ""):
-                    ids, comps, sizes = (np.frombuffer(batch.column(c + end)[r].as_py(), np.int64) for c in ("ids", "comps", "sizes"))
-                    sig = np.frombuffer(batch.column("sigs" + end)[r].as_py(), np.int32).reshape(len(ids), -1)
-                    sides.append((ids, comps, sig, np.split(np.frombuffer(batch.column("sets" + end)[r].as_py(), np.uint64), np.cumsum(sizes)[:-1]), sizes))
-                (ia, ca, ga, sa, na), (ib, cb, gb, sb, nb) = sides
-                met = np.zeros((len(ia), len(ib)), np.int16)
-                for c in range(ga.shape[1]):
-                    met += ga[:, c][:, None] == gb[:, c]
-                close = (met >= matches) & (ca[:, None] != cb)
-                close &= np.minimum(na[:, None], nb) * 100 >= percent * np.maximum(na[:, None], nb)
-                if batch.column("from")[r].as_py() == batch.column("block")[r].as_py():
-                    close = np.triu(close, 1)
-                x, y = np.nonzero(close)
-                if not len(x):
-                    continue
-                both = _intersections(sa, sb, x, y)
-                ok = 100 * both >= percent * (na[x] + nb[y] - both)
-                # Components of the tile: what is one already needs no link again.
-                nodes, at = np.unique(np.concatenate([ca, cb]), return_inverse=True)
-                forest = Forest(len(nodes))
-                forest.join(at[: len(ia)][x[ok]], at[len(ia) :][y[ok]])
-                moved = np.flatnonzero(forest.parent != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[forest.parent[moved]]), pa.array(nodes[moved])], ["a", "b"])
-
-    pairs = left.join(blocks.select("grp", "block", *parts), ["grp", "block"])
-    return pairs.drop("grp").mapInArrow(compare, "a long, b long").distinct()
+            n = batch.num_rows
+            if not n:
+                continue
+            key = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            edge = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0) | (np.diff(key[2]) != 0)) + 1
+            for x, y in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
+                now = tuple(int(k[x]) for k in key)
+                if now != at:
+                    if held:
+                        yield pack(settle())
+                    at, held = now, []
+                part = batch.slice(x, y - x)
+                sig = part.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(y - x, -1)
+                sets = [np.frombuffer(v.as_buffer(), np.uint64).copy() for v in part.column("set")]
+                held.append([*(part.column(c).to_numpy(zero_copy_only=False) for c in ("block", "id", "comp")), sig.copy(), sets])
+        if held:
+            yield pack(settle())
+
+    dealt_out = spread.repartition(*keys).sortWithinPartitions(*keys, "block")
+    return dealt_out.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _tile_links(left: tuple, right: tuple, matches: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that links of two blocks (components, signatures, sets) join: a spanning forest."""
+    from .embeddings import Forest
+
+    (ca, ga, sa), (cb, gb, sb) = left, right
+    na, nb = (np.array([len(x) for x in s], np.int64) for s in (sa, sb))
+    met = np.zeros((len(ca), len(cb)), np.int16)
+    for c in range(ga.shape[1]):
+        met += ga[:, c][:, None] == gb[:, c]
+    close = (met >= matches) & (ca[:, None] != cb)
+    close &= np.minimum(na[:, None], nb) * 100 >= percent * np.maximum(na[:, None], nb)
+    x, y = np.nonzero(np.triu(close, 1) if same else close)
+    none = np.zeros(0, np.int64)
+    if not len(x):
+        return none, none
+    both = _intersections(sa, sb, x, y)
+    ok = 100 * both >= percent * (na[x] + nb[y] - both)
+    nodes, at = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.join(at[: len(ca)][x[ok]], at[len(ca) :][y[ok]])
+    moved = np.flatnonzero(forest.parent != np.arange(len(nodes)))
+    return nodes[forest.parent[moved]], nodes[moved]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, coordinates: int = 32, matches: int = 12, shingle: int = 5, percent: int = 75, small: int = 6) -> DataFrame:
