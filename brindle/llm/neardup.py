@@ -175,7 +175,7 @@ def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
 
 
 #: Of a block of documents: how many, and how many bytes of shingles.
-BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 
 
 def _shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -219,35 +219,42 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray, c
     return count[np.searchsorted(ra, rows), np.searchsorted(rb, cols)].astype(np.int64)
 
 
-def _tiled(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches: int, n: int, percent: int) -> DataFrame:
-    """(a, b): links between components of one group (id, comp, grp, sig), enough to join all that are linked.
+def _tiles(rows: DataFrame, size, settle) -> DataFrame:
+    """(a, b): what ``settle`` returns for each pair of blocks of each group of (id, comp, grp, sig, set).
 
-    A group is dealt into blocks, and each pair of blocks is a tile: signatures
-    are compared first, then full sets. A tile returns a spanning forest.
+    A group is dealt into blocks, the rows of its largest component apart from
+    the others: blocks of that component needn't meet each other. Each row goes
+    to the tiles of its block, one small row a document; tiles are put
+    together in Python, one at a time.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    full = materialize(_shingle_sets(only(source, rest, "id"), n).join(rest, "id"), "rest-sets")
-    sizes = full.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = full.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    # Each row goes to the tiles of its block, one small row a document: tiles are put together in Python.
-    other = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = other.select("grp", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "id", "comp", "sig", "set")
+    by = rows.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    main = by.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    sided = rows.join(main, "grp").withColumn("odd", F.col("comp") != F.col("main")).drop("main")
+
+    def count(odd: bool):
+        mine = F.col("odd") == odd
+        held = F.coalesce(F.sum(F.when(mine, size)), F.lit(0)) if size is not None else F.lit(0)
+        return F.ceil(F.greatest(F.count_if(mine) / BLOCK_ROWS, held / BLOCK_BYTES)).cast("int")
+
+    sizes = sided.groupBy("grp").agg(count(False).alias("mains"), count(True).alias("odds"))
+    dealt = sided.join(sizes.where("odds > 0"), "grp")
+    within = F.when(F.col("odd"), F.col("mains") + F.pmod(F.xxhash64("id"), F.greatest("odds", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.greatest("mains", F.lit(1))))
+    dealt = dealt.withColumn("block", within.cast("int"))
+    partners = F.when(F.col("odd"), F.sequence(F.lit(0), F.col("mains") + F.col("odds") - 1)).otherwise(F.sequence(F.col("mains"), F.col("mains") + F.col("odds") - 1))
+    other = dealt.withColumn("with", F.explode(partners))
+    rest = [c for c in ("sig", "set") if c in rows.columns]
+    spread = other.select("grp", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "id", "comp", *rest)
     keys = ("grp", "low", "high")
 
     def compare(batches):
         at, held = None, []
 
-        def settle():
-            """The links of the tile held."""
-            low, high = at[1], at[2]
-            block, ids, comps, sig, sets = (sum((x[i] for x in held), []) if i == 4 else np.concatenate([x[i] for x in held]) for i in range(5))
-            a = np.flatnonzero(block == low)
-            b = a if low == high else np.flatnonzero(block == high)
-            return _tile_links(*((comps[x], sig[x], [sets[i] for i in x.tolist()]) for x in (a, b)), matches, percent, low == high)
-
-        def pack(pairs):
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+        def settled():
+            block, ids, comps, sig = (np.concatenate([x[i] for x in held]) for i in range(4))
+            sets = sum((x[4] for x in held), [])
+            sides = [np.flatnonzero(block == k) for k in at[1:]]
+            a, b = settle(*((ids[x], comps[x], sig[x], [sets[i] for i in x.tolist()] if sets else []) for x in sides), at[1] == at[2])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             n = batch.num_rows
@@ -259,31 +266,68 @@ def _tiled(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches
                 now = tuple(int(k[x]) for k in key)
                 if now != at:
                     if held:
-                        yield pack(settle())
+                        yield settled()
                     at, held = now, []
                 part = batch.slice(x, y - x)
                 sig = part.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(y - x, -1)
-                sets = [np.frombuffer(v.as_buffer(), np.uint64).copy() for v in part.column("set")]
+                sets = [np.frombuffer(v.as_buffer(), np.uint64).copy() for v in part.column("set")] if "set" in rest else []
                 held.append([*(part.column(c).to_numpy(zero_copy_only=False) for c in ("block", "id", "comp")), sig.copy(), sets])
         if held:
-            yield pack(settle())
+            yield settled()
 
     dealt_out = spread.repartition(*keys).sortWithinPartitions(*keys, "block")
     return dealt_out.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _tile_links(left: tuple, right: tuple, matches: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of components that links of two blocks (components, signatures, sets) join: a spanning forest."""
-    from .embeddings import Forest
+def _tiled(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches: int, n: int, percent: int) -> DataFrame:
+    """(a, b): links between components of one group (id, comp, grp, sig), enough to join all that are linked.
 
-    (ca, ga, sa), (cb, gb, sb) = left, right
-    na, nb = (np.array([len(x) for x in s], np.int64) for s in (sa, sb))
-    met = np.zeros((len(ca), len(cb)), np.int16)
+    Lists chain unlike sets into large groups, so signatures alone are compared
+    first: what they connect are small groups of likes, in which the full sets
+    are compared.
+    """
+    alike = materialize(_tiles(rest, None, lambda left, right, same: _alike(left, right, matches, same)), "alike")
+    if alike.isEmpty():
+        return alike
+    refined = components(alike, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    likes = rest.drop("grp").join(refined, "id")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    likes = materialize(likes, "likes")
+    full = materialize(_shingle_sets(only(source, likes, "id"), n).join(likes, "id"), "likes-sets")
+    return _tiles(full, F.octet_length("set"), lambda left, right, same: _tile_links(left, right, matches, percent, same))
+
+
+def _close(left: tuple, right: tuple, matches: int, same: bool) -> np.ndarray:
+    """Whether signatures collide often enough and components differ, for all pairs of two blocks (ids, components, signatures, sets)."""
+    (_, ca, ga, _), (_, cb, gb, _) = left, right
+    met = np.zeros((len(ca), len(cb)), np.int8)
     for c in range(ga.shape[1]):
         met += ga[:, c][:, None] == gb[:, c]
     close = (met >= matches) & (ca[:, None] != cb)
+    return np.triu(close, 1) if same else close
+
+
+def _alike(left: tuple, right: tuple, matches: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, over ids, of the pairs whose signatures collide often enough."""
+    from .embeddings import Forest
+
+    x, y = np.nonzero(_close(left, right, matches, same))
+    nodes, at = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.join(at[: len(left[0])][x], at[len(left[0]) :][y])
+    moved = np.flatnonzero(forest.parent != np.arange(len(nodes)))
+    return nodes[forest.parent[moved]], nodes[moved]
+
+
+def _tile_links(left: tuple, right: tuple, matches: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that links of two blocks join: a spanning forest."""
+    from .embeddings import Forest
+
+    (_, ca, _, sa), (_, cb, _, sb) = left, right
+    na, nb = (np.array([len(x) for x in s], np.int64) for s in (sa, sb))
+    close = _close(left, right, matches, same)
     close &= np.minimum(na[:, None], nb) * 100 >= percent * np.maximum(na[:, None], nb)
-    x, y = np.nonzero(np.triu(close, 1) if same else close)
+    x, y = np.nonzero(close)
     none = np.zeros(0, np.int64)
     if not len(x):
         return none, none
