@@ -37,7 +37,7 @@ from .common import materialize, shingles, text_buffers, words
 #: Letters of other scripts that look like Latin ones.
 _GLYPHS = str.maketrans("авекмнорстухіјѕԁɡӏɑαβερικοντυχ", "abekmhopctyxijsdglaabepikovtux")
 #: Digits and signs that stand for letters within a word.
-_SIGNS = str.maketrans("01345789@$!|", "oleastbgasil")
+_SIGNS = str.maketrans("01345789@$!|", "oieastbgasil")
 _WORD = re.compile(r"[^\W_][\w@$!|*'-]*", re.UNICODE)
 #: Used where no labels are given: plain insults, each with its weight.
 SEED = {"idiot": 2.0, "moron": 2.0, "scum": 2.0, "stupid": 1.5, "worthless": 1.5, "pathetic": 1.5, "disgusting": 1.2, "loser": 1.5, "trash": 1.0, "clown": 1.0}
