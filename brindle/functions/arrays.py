@@ -22,6 +22,11 @@ def _d(x) -> Column:
     return _c(x).cast("array<double>")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, not once for each element that uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 # --- making -------------------------------------------------------------------
 
 
@@ -105,9 +110,9 @@ def mean(a) -> Column:
 
 def var(a, ddof: int = 0) -> Column:
     """Two-pass variance; NaN if there are too few values."""
-    deviations = F.transform(_d(a), lambda x: (x - mean(a)) * (x - mean(a)))
     n = F.size(_c(a)) - ddof
-    return F.when(n > 0, F.try_divide(F.aggregate(deviations, F.lit(0.0), lambda s, x: s + x), n)).otherwise(NAN)
+    squares = _let(mean(a), lambda m: F.aggregate(_d(a), F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return F.when(n > 0, F.try_divide(squares, n)).otherwise(NAN)
 
 
 def std(a, ddof: int = 0) -> Column:
@@ -380,14 +385,14 @@ def matmul(a, b) -> Column:
 
 def softmax(a, scale: float = 1.0) -> Column:
     a = _d(a)
-    e = F.transform(a, lambda x: F.exp((x - F.array_max(a)) * scale))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    powers = _let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp((x - m) * scale)))
+    return _let(powers, lambda e: _let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def logsumexp(a) -> Column:
     a = _d(a)
-    top = F.array_max(a)
-    return top + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return _let(F.array_max(a), lambda m: m + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m))))
 
 
 def logmeanexp(a) -> Column:
@@ -395,12 +400,12 @@ def logmeanexp(a) -> Column:
 
 
 def log_softmax(a, scale: float = 1.0) -> Column:
-    scaled = F.transform(_d(a), lambda x: x * scale)
-    return F.transform(scaled, lambda x: x - logsumexp(scaled))
+    scaled = F.transform(_d(a), lambda x: x * scale) if scale != 1.0 else _d(a)
+    return _let(logsumexp(scaled), lambda s: F.transform(scaled, lambda x: x - s))
 
 
 def standardize(a, eps: float = 1e-5) -> Column:
-    return F.transform(_d(a), lambda x: (x - mean(a)) / F.sqrt(var(a) + eps))
+    return _let(F.struct(mean(a).alias("m"), F.sqrt(var(a) + eps).alias("s")), lambda z: F.transform(_d(a), lambda x: (x - z["m"]) / z["s"]))
 
 
 # --- windows ------------------------------------------------------------------
