@@ -144,3 +144,15 @@ def test_alignment_bridges_edits():
     assert substring.align(a, b, 46, 75) == [(0, 100, 0, 100)]
     assert substring.align(a[:40], b, 46, 75) == []
     assert substring.align(a, np.concatenate([b[60:], a[:46]]), 46, 75) == [(0, 46, 40, 86)]
+
+
+def test_alignment_sees_runs_of_repetitive_texts():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        a, b = (rng.integers(0, 4, 60).astype(np.uint64) for _ in range(2))
+        b[5:25] = a[30:50]
+        covered = np.zeros(60, bool)
+        for s, e, _, _ in substring.align(a, b, 12, 75):
+            covered[s:e] = True
+        runs = [i for i in range(49) if any((a[i : i + 12] == b[j : j + 12]).all() for j in range(49))]
+        assert runs and all(covered[i : i + 12].all() for i in runs)
