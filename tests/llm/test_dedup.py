@@ -156,3 +156,18 @@ def test_alignment_sees_runs_of_repetitive_texts():
             covered[s:e] = True
         runs = [i for i in range(49) if any((a[i : i + 12] == b[j : j + 12]).all() for j in range(49))]
         assert runs and all(covered[i : i + 12].all() for i in runs)
+
+
+def test_second_leaders_serve_texts_that_have_found_something(spark, monkeypatch):
+    """A run that the first leader lacks is found under one hash function, though both texts share another passage with that leader."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"u{rng.integers(10**12)}" for _ in range(n)]
+    common, run = fresh(60), fresh(60)
+    texts = [common + fresh(60), common + fresh(20) + run, run + fresh(10) + common]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], SCHEMA)
+    at = [int(substring._packed(*(np.array([x]) for x in (40, 0, len(w) - 5)), 0)[0]) for w in texts]
+    windows = spark.createDataFrame([(7 << 16 | i, i, at[i], i, 0, 0, 0, 0, 0) for i in range(3)], substring._BOTH)
+    monkeypatch.setattr(substring, "post_windows", lambda *_: windows)
+    assert {(r["a"], r["b"]) for r in substring.candidates(windows, 1).collect()} == {(0, 1), (0, 2), (1, 2)}
+    spans = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substring.repeated_passages(docs).collect()}
+    assert spans == {(0, 0, 60), (1, 0, 60), (1, 80, 140), (2, 0, 60), (2, 70, 130)}
