@@ -171,3 +171,26 @@ def test_second_leaders_serve_texts_that_have_found_something(spark, monkeypatch
     assert {(r["a"], r["b"]) for r in substring.candidates(windows, 1).collect()} == {(0, 1), (0, 2), (1, 2)}
     spans = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substring.repeated_passages(docs).collect()}
     assert spans == {(0, 0, 60), (1, 0, 60), (1, 80, 140), (2, 0, 60), (2, 70, 130)}
+
+
+def test_alignment_finds_every_place_on_either_side():
+    rng = np.random.default_rng(9)
+    fresh = lambda n: rng.integers(10**6, 2**62, n).astype(np.uint64)
+    p = fresh(20)
+    many = np.concatenate([x for _ in range(5) for x in (fresh(7), p)])
+    one = np.concatenate([fresh(9), p, fresh(9)])
+    for a, b in ((one, many), (many, one)):
+        got = substring.align(a, b, 12, 75)
+        for x, y, side in ((a, b, 0), (b, a, 2)):
+            covered = np.zeros(len(x), bool)
+            for r in got:
+                covered[r[side] : r[side + 1]] = True
+            assert (covered == np.isin(x, y)).all()
+    for _ in range(30):  # repetitive texts
+        a, b = (rng.integers(0, 3, 80).astype(np.uint64) for _ in range(2))
+        b[5:25], b[40:60] = a[30:50], a[30:50]
+        got = substring.align(a, b, 12, 75)
+        for x, y, side in ((a, b, 0), (b, a, 2)):
+            runs = [i for i in range(69) if any((x[i : i + 12] == y[k : k + 12]).all() for k in range(69))]
+            assert runs and all(any(r[side] <= i and i + 12 <= r[side + 1] for r in got) for i in runs)
+    assert substring.exact_runs(p, many, 12, np.zeros(20, bool)) == [(0, 20, 7, 27)]
