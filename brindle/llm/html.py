@@ -6,13 +6,18 @@ before and after it on the same host that isn't a copy of it. The lines of
 each pair are aligned by longest common subsequence, and lines that both have
 are deleted: what a site repeats from page to page is its frame.
 
-Lines in a page's article element are protected: copies of one article on two
-pages would delete each other. Elements whose markup says that they aren't
+Copies of one article would delete each other. Pages are copies if the lines
+that their texts would keep without differencing agree, by characters: frame
+lines that no markup tells are many but short. Copies are one group, so the
+nearest different page is found however many copies lie between. A line in a
+page's article element is deleted if two partners have it that are no copies
+of each other: two articles alone may quote one source. Elements whose markup says that they aren't
 content (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) are left out whatever the comparison finds.
 
 Only hashes of lines are shuffled and sorted, never pages. A page at the edge
-of a range has a partner on one side only.
+of a range has partners on one side only. A task holds the hashes of one host
+in its range.
 
 Rows: null html is empty and gives an empty text; a null url is host ''.
 Repeated rows and null ids are extracted like any other row. Only the named
@@ -24,8 +29,9 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import deque
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -187,14 +193,80 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.rpartition("@")[2].partition(":")[0].lower(), path.rstrip("/")
 
 
-#: Pages that share more of their lines than this are copies: no partners.
+#: Pages that share more of their texts' characters than this, by lines, are copies: no partners.
 COPY = 0.8
-#: Pages looked at on either side for a partner that isn't a copy.
-REACH = 4
+
+
+class _Page:
+    """The lines of a page: hashes of all, positions and lengths of those that its text may keep."""
+
+    def __init__(self, key: int, hashes: np.ndarray, own: np.ndarray, sizes: np.ndarray, article: bool):
+        self.key, self.hashes, self.own, self.sizes, self.article = key, hashes, own, sizes, article
+        self.total = int(sizes.sum())
+
+    def mine(self) -> list[int]:
+        return self.hashes[self.own].tolist()
+
+    @cached_property
+    def all(self) -> frozenset[int]:
+        return frozenset(self.hashes.tolist())
+
+    def copies(self, other: _Page) -> bool:
+        least = COPY * max(self.total, other.total)
+        mine, sizes = self.mine(), self.sizes.tolist()
+        if sum(n for x, n in zip(mine, sizes, strict=True) if x in other.all) <= least:
+            return least == 0
+        return sum(sizes[i] for i in common_lines(mine, other.mine())) > least
+
+    def shares(self, other: _Page) -> set[int]:
+        """The positions of lines of the text that ``other`` has too."""
+        if other.all.isdisjoint(self.mine()):
+            return set()
+        return set(common_lines(self.hashes.tolist(), other.hashes.tolist())) & set(self.own.tolist())
+
+
+def partners(pages: list[_Page]) -> list[list[_Page]]:
+    """For each page the nearest one before that isn't a copy of it, and the nearest that is a copy of neither.
+
+    Copies are a group with its first page for all; the group met last comes last.
+    Pages without text are nobody's partners.
+    """
+    groups: list[_Page] = []
+    out = []
+    for page in pages:
+        found: list[_Page] = []
+        own = None
+        for at in range(len(groups) - 1, -1, -1):
+            other = groups[at]
+            if page.copies(other):
+                own = at if own is None else own
+            elif not found or not other.copies(found[0]):
+                found.append(other)
+            if len(found) == 2:
+                break
+        if page.total:
+            groups.append(page if own is None else groups.pop(own))
+        out.append(found)
+    return out
+
+
+def cuts(pages: list[_Page]) -> list[tuple[int, list[int]]]:
+    """(key, positions of the lines to delete) of pages of one host in their order."""
+    out = []
+    for page, before, after in zip(pages, partners(pages), partners(pages[::-1])[::-1], strict=True):
+        near = before[:1] + after[:1]
+        if page.article:
+            other = next((x for x in near[1:] + before[1:] + after[1:] if not x.copies(near[0])), None)
+            cut = page.shares(near[0]) & page.shares(other) if other else set()
+        else:
+            cut = set().union(*map(page.shares, near))
+        if cut:
+            out.append((page.key, sorted(cut)))
+    return out
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(key, cut): the positions of unprotected lines that a page shares with its partners."""
+    """(key, cut): the positions of the lines of its text that a page shares with its partners."""
 
     def read(batches):
         for batch in batches:
@@ -203,54 +275,31 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                 found = lines(page or "")
                 main = _main(found)
                 host, path = split_url(url)
-                rows.append((key, host, path, [xxhash.xxh64_intdigest(t) - 2**63 for t, _, _ in found], [i for i, (_, frame, a) in enumerate(found) if not frame and (a != main or not main)]))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "host", "path", "hashes", "open"])
+                own = [i for i, (_, frame, a) in enumerate(found) if not frame and a == main]
+                rows.append((key, host, path, [xxhash.xxh64_intdigest(t) - 2**63 for t, _, _ in found], own, [len(found[i][0]) for i in own], bool(main)))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "host", "path", "hashes", "own", "sizes", "article"])
 
     def compare(batches):
-        window: deque = deque()  # (key, host, hashes, open), oldest first
-        middle = 0
-        done: list[tuple[int, list[int]]] = []
-
-        def settle(at: int) -> None:
-            key, host, hashes, free = window[at]
-            if not free:
-                return
-            cut: set[int] = set()
-            for side in (range(at - 1, -1, -1), range(at + 1, len(window))):
-                for j in side:
-                    other = window[j]
-                    if other[1] != host:
-                        break
-                    same = common_lines(hashes, other[2])
-                    if len(same) <= COPY * max(len(hashes), len(other[2])):
-                        cut.update(same)
-                        break
-            cut &= set(free)
-            if cut:
-                done.append((key, sorted(cut)))
+        held: list[_Page] = []
+        last = None
 
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], ["key", "cut"])
-            done.clear()
-            return batch
+        def settled():
+            done = cuts(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], ["key", "cut"])
 
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "host", "hashes", "open")), strict=True):
-                window.append(row)
-                if len(window) - middle > REACH:
-                    settle(middle)
-                    if middle == REACH:
-                        window.popleft()
-                    else:
-                        middle += 1
-            yield flush()
-        while middle < len(window):
-            settle(middle)
-            middle += 1
-        yield flush()
-
-    read_lines = materialize(pages.mapInArrow(read, "key long, host string, path string, hashes array<long>, open array<int>"), "lines")
+            keys, hosts, articles = (batch.column(n).to_pylist() for n in ("key", "host", "article"))
+            parts = [batch.column(n) for n in ("hashes", "own", "sizes")]
+            for i, host in enumerate(hosts):
+                if held and host != last:
+                    yield settled()
+                last = host
+                held.append(_Page(keys[i], *(c[i].values.to_numpy(zero_copy_only=False).copy() for c in parts), articles[i]))
+        yield settled()
+
+    read_lines = materialize(pages.mapInArrow(read, "key long, host string, path string, hashes array<long>, own array<int>, sizes array<int>, article boolean"), "lines")
     ranged = read_lines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     return ranged.mapInArrow(compare, "key long, cut array<int>")
 

@@ -176,6 +176,22 @@ def test_differencing_removes_what_pages_share(spark):
     assert got[0]["n_chars"] == len(got[0]["text"]) and html.extract(t).count() == len(rows) and html.extract(t.limit(0)).count() == 0
 
 
+def _texts(spark, pages):
+    t = spark.createDataFrame([(i, f"http://h.example/{i:03}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"].split("\n\n") for r in html.extract(t.coalesce(1)).collect()}
+
+
+def test_differencing_cuts_repeated_lines_inside_articles(spark):
+    """But neither copies of an article nor a passage of two articles."""
+    article = lambda *lines: "<body><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body>"
+    own = [[f"Paragraph {k} of page {i} and what it says" for k in range(4)] for i in range(6)]
+    quote = "A sentence of some other source that two pages quote"
+    pages = [article("Share this page", *own[i], *[quote] * (i in (1, 2)), "Thanks for reading") for i in range(6)]
+    pages[4:4] = [pages[4]] * 3
+    got = _texts(spark, pages)
+    assert [got[i] for i in range(9)] == [own[0], [*own[1], quote], [*own[2], quote], own[3], own[4], own[4], own[4], own[4], own[5]]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     import random
 
