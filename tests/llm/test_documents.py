@@ -192,6 +192,16 @@ def test_differencing_cuts_repeated_lines_inside_articles(spark):
     assert [got[i] for i in range(9)] == [own[0], [*own[1], quote], [*own[2], quote], own[3], own[4], own[4], own[4], own[4], own[5]]
 
 
+def test_differencing_goes_past_copies_and_sparse_pages(spark):
+    """Many copies between a page and the next different one; frames of many short lines around a little text."""
+    frame = [f"Item {k}" for k in range(20)]
+    page = lambda *own: "<body>" + "".join(f"<div>{x}</div>" for x in frame[:10]) + "".join(f"<p>{x}</p>" for x in own) + "".join(f"<div>{x}</div>" for x in frame[10:]) + "</body>"
+    own = [[f"Line {k} of page {i}, which is longer than the lines of the frame are: {i * 7919 + k}" for k in range(3)] for i in range(4)]
+    order = [0] + [1] * 11 + [2, 3]
+    got = _texts(spark, [page(*own[i]) for i in order])
+    assert [got[i] for i in range(len(order))] == [own[i] for i in order]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     import random
 
