@@ -141,3 +141,29 @@ def turn_tokens(spark, d):
 @query("document_order_index", "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i FROM documents")
 def document_order_index(spark, d):
     return ordered.with_row_index(table(spark, d, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], "i").select("doc_id", "i")
+
+
+# The same over whole tables: the SQL of the queries above names a few documents and stays as it is.
+
+
+@query("text_nfc_strip_accents_whole", "SELECT doc_id, strip_accents(text) AS t FROM documents")
+def text_nfc_strip_accents_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.nfc(X.strip_accents("text")).alias("t"))
+
+
+@query("bpe_round_trip_whole", f"SELECT doc_id, regexp_replace(t, '[ \\t\\n\\r\\f\\v]', '', 'g') AS t FROM {_T}")
+def bpe_round_trip_whole(spark, d):
+    t = _ascii(spark, d)
+    tok = K.Tokenizer(K.train_bpe(t, F.regexp_replace("t", r"\s+", " "), 400), pre=X.whitespace_split)
+    return t.select("doc_id", tok.encode_ids("t").alias("ids")).select("doc_id", tok.decode("ids").alias("t"))
+
+
+@query("byte_level_round_trip_whole", "SELECT doc_id, CASE WHEN starts_with(text, ' ') OR text = '' THEN text ELSE concat(' ', text) END AS t FROM documents")
+def byte_level_round_trip_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.byte_level_decode(F.array_join(X.byte_level("text"), "")).alias("t"))
+
+
+@query("token_positions_whole", f"SELECT doc_id, unnest(range(0, len(p)))::BIGINT AS i, unnest(p) AS piece FROM (SELECT doc_id, regexp_extract_all(t, '\\w+|[^\\w\\s]+') AS p FROM {_T})")
+def token_positions_whole(spark, d):
+    spans = _ascii(spark, d).select("doc_id", "t", F.posexplode(X.with_offsets("t", X.whitespace("t"))).alias("i", "s"))
+    return spans.select("doc_id", F.col("i").cast("long").alias("i"), F.substring("t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"))

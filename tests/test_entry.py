@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -33,3 +34,20 @@ def test_query_agrees_with_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(tuple(plain(dict(zip(names, r, strict=True))[k]) for k in sorted(names)) for r in found.fetchall())
     assert sorted(tuple(plain(r[k]) for k in sorted(names)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["text_nfc_strip_accents_whole", "bpe_round_trip_whole", "byte_level_round_trip_whole", "token_positions_whole"])
+def test_whole_table_agrees_with_sql(spark, name):
+    test_query_agrees_with_sql(spark, name)
+    if name != "token_positions_whole":
+        assert entry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_linear_algebra_takes_all_vectors(spark):
+    rows = {r["vec_id"]: r for r in entry.queries()["linear_algebra"](spark, SF).collect()}
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    assert set(rows) == set(vectors) and len(rows) > 50
+    for i, e in vectors.items():
+        m = e[:16].reshape(4, 4)
+        assert rows[i]["det"] == pytest.approx(np.linalg.det(m), rel=1e-6, abs=1e-9) and rows[i]["rank"] == np.linalg.matrix_rank(m)
+        assert np.allclose(m @ np.array(rows[i]["x"]), e[16:20], atol=1e-5)
