@@ -279,3 +279,64 @@ def global_norm_clip(spark, d):
 def adam_step(spark, d):
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("p"), F.col("l_discount").alias("g"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
     return optim.adam(t, 0.1, 1).select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"))
+
+
+# Long-form queries over whole tables: the SQL of those above names a few cells and stays as it is.
+
+_TALL = "(SELECT vec_id AS i, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+#: The Gram matrix of the vectors' components, square.
+_GRAM = f"(SELECT x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM {_TALL} x JOIN {_TALL} y ON x.i = y.i GROUP BY ALL)"
+
+
+def _tall(spark, d):
+    return coo.from_vectors(_vec(spark, d), "vec_id", "e").withColumn("j", F.col("j").cast("long"))
+
+
+def _gram(spark, d):
+    a = _tall(spark, d)
+    return coo.einsum("ki,kj->ij", a, a)
+
+
+@query("matmul_whole", f"SELECT i, j AS k, round(v, 4) + 0 AS v FROM {_GRAM}")
+def matmul_whole(spark, d):
+    a = _tall(spark, d)
+    return coo.matmul(coo.transpose(a).select("i", "j", "v"), a).withColumn("v", F.round("v", 4))
+
+
+@query("einsum_trace_of_product_whole", f"SELECT round(sum(x.v * y.v), 3) + 0 AS v FROM {_TALL} x JOIN {_TALL} y ON x.i = y.i AND x.j = y.j")
+def einsum_trace_of_product_whole(spark, d):
+    a = _tall(spark, d)
+    return coo.einsum("ij,ji->", a, coo.transpose(a).select("i", "j", "v")).withColumn("v", F.round("v", 3))
+
+
+@query("einsum_chain_whole", f"WITH g AS {_GRAM} SELECT x.i AS a, y.j AS d, round(sum(x.v * y.v), 3) + 0 AS v FROM {_TALL} x JOIN g y ON x.j = y.i GROUP BY ALL")
+def einsum_chain_whole(spark, d):
+    a = _tall(spark, d)
+    return coo.einsum("ab,cb,cd->ad", a, a, a).withColumn("v", F.round("v", 3))
+
+
+@query("trace_diagonal_whole", f"WITH a AS {_GRAM} SELECT round(sum(v) FILTER (i = j), 3) AS tr, round(sum(v) FILTER (j - i <= -1), 3) AS lower, round(sum(v) FILTER (j - i >= 1), 3) AS upper, round(sum(v) FILTER (i + 1 = j), 3) AS off FROM a")
+def trace_diagonal_whole(spark, d):
+    a = _gram(spark, d)
+    one = lambda t, n: t.agg(F.round(F.sum("v"), 3).alias(n))
+    return one(coo.trace(a), "tr").crossJoin(one(coo.tril(a, -1), "lower")).crossJoin(one(coo.triu(a, 1), "upper")).crossJoin(one(coo.diagonal(a, 1), "off"))
+
+
+@query("outer_product_whole", f"WITH a AS {_TALL} SELECT x.i, y.i AS j, round(x.v * y.v, 6) + 0 AS v FROM (SELECT i, v FROM a WHERE j = 0) x, (SELECT j AS i, sum(v) AS v FROM a GROUP BY 1) y")
+def outer_product_whole(spark, d):
+    """Of the first components and the sums of all: as many rows as the table has cells."""
+    a = _tall(spark, d)
+    sums = coo.reduce_axes(a, ["j"]).withColumnRenamed("j", "i")
+    return coo.outer(coo.slice_axis(a, "j", 0, 1).select("i", "v"), sums).withColumn("v", F.round("v", 6))
+
+
+@query("tensor_reshape_roll_whole", f"WITH a AS {_TALL} SELECT ((i * 64 + j) // 4)::BIGINT AS i, (((i * 64 + j) % 4 + 1) % 4)::BIGINT AS j, v FROM a")
+def tensor_reshape_roll_whole(spark, d):
+    return coo.roll(coo.reshape(_tall(spark, d), 64, 4), "j", 1, 4)
+
+
+@query("matrix_norms_whole", f"WITH a AS {_TALL} SELECT round(sqrt(sum(v * v)), 4) AS fro, (SELECT round(max(s), 4) FROM (SELECT sum(abs(v)) AS s FROM a GROUP BY j)) AS one, (SELECT round(max(s), 4) FROM (SELECT sum(abs(v)) AS s FROM a GROUP BY i)) AS inf FROM a")
+def matrix_norms_whole(spark, d):
+    a = _tall(spark, d)
+    parts = [coo.norm(a, k).select(F.round("v", 4).alias(n)) for k, n in (("fro", "fro"), ("1", "one"), ("inf", "inf"))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])

@@ -167,3 +167,30 @@ def image_morphology(spark, d):
 @query("image_flip_crop", f"WITH p AS {_IMG} SELECT image, y - 2 AS y, (7 - x) - 1 AS x, v FROM p WHERE y BETWEEN 2 AND 5 AND 7 - x BETWEEN 1 AND 6")
 def image_flip_crop(spark, d):
     return images.crop(images.hflip(_image(spark, d), 8), 2, 1, 4, 6).select("image", "y", "x", "v")
+
+
+# The same over all vectors: the SQL of the queries above names the first 64 and stays as it is.
+
+
+def _images(spark, d):
+    """Eight vectors an image, their numbers in rows of it."""
+    t = table(spark, d, "embeddings").select((F.col("vec_id") / 8).cast("int").alias("image"), (F.col("vec_id") % 8).cast("int").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("x", "v"))
+    return t
+
+
+_IMAGES = "(SELECT (vec_id // 8)::INT AS image, (vec_id % 8)::INT AS y, unnest(range(0, len(embedding)))::INT AS x, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query("image_box_blur_whole", f"WITH p AS {_IMAGES} SELECT a.image, a.y, a.x, round(sum(b.v) / 9, 6) + 0 AS v FROM p a JOIN p b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL")
+def image_box_blur_whole(spark, d):
+    return images.box_blur(_images(spark, d), 3).withColumn("v", F.round("v", 6))
+
+
+@query("image_morphology_whole", f"WITH p AS {_IMAGES} SELECT a.image, a.y, a.x, round(max(b.v) - min(b.v), 6) + 0 AS v FROM p a JOIN p b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL")
+def image_morphology_whole(spark, d):
+    return images.morphological_gradient(_images(spark, d), images.structuring_element("rect", 3)).withColumn("v", F.round("v", 6))
+
+
+@query("image_flip_crop_whole", f"WITH p AS {_IMAGES} SELECT image, y - 2 AS y, (63 - x) - 1 AS x, v FROM p WHERE y BETWEEN 2 AND 5 AND 63 - x BETWEEN 1 AND 6")
+def image_flip_crop_whole(spark, d):
+    return images.crop(images.hflip(_images(spark, d), 64), 2, 1, 4, 6).select("image", "y", "x", "v")

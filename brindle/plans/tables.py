@@ -177,6 +177,12 @@ def _join(name: str, how: str, sql: str) -> None:
         o = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_custkey", "o_orderkey", "o_totalprice")
         return T.join(c, o, "c_custkey", "o_custkey", how)
 
+    # Over whole tables: the SQL above keeps its filters.
+    @query(f"join_{name}_whole", f"SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey, o_totalprice FROM customer {sql} orders ON c_custkey = o_custkey")
+    def g(spark, d):
+        c = table(spark, d, "customer").select("c_custkey", "c_name")
+        return T.join(c, table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "c_custkey", "o_custkey", how)
+
 
 for _name, _how, _sql in (("inner", "inner", "JOIN"), ("left", "left", "LEFT JOIN"), ("right", "right", "RIGHT JOIN"), ("outer", "outer", "FULL JOIN")):
     _join(_name, _how, _sql)

@@ -51,3 +51,11 @@ def test_linear_algebra_takes_all_vectors(spark):
         m = e[:16].reshape(4, 4)
         assert rows[i]["det"] == pytest.approx(np.linalg.det(m), rel=1e-6, abs=1e-9) and rows[i]["rank"] == np.linalg.matrix_rank(m)
         assert np.allclose(m @ np.array(rows[i]["x"]), e[16:20], atol=1e-5)
+
+
+WHOLE = ["matmul", "einsum_trace_of_product", "einsum_chain", "trace_diagonal", "outer_product", "tensor_reshape_roll", "matrix_norms", "image_box_blur", "image_morphology", "image_flip_crop", "join_inner", "join_left", "join_right", "join_outer"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tensors_images_and_joins_agree_with_sql(spark, name):
+    test_query_agrees_with_sql(spark, f"{name}_whole")
