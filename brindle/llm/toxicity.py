@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
 Folding maps homoglyphs (letters of other scripts, full-width forms), digit
-and sign substitutions inside words, and accents that disguise a letter, to
-plain lower-case letters. The automaton holds the lexicon's words and stems;
+and sign substitutions inside words, and accents, to plain lower-case letters,
+and drops what splits a word unseen (zero-width and other format characters). The automaton holds the lexicon's words and stems;
 hits must begin where a word begins (whole words must also end there); hits
 inside an exception phrase don't count. Each entry adds its weight once for
 each hit; the sum is normalised by the length of the text and mapped to a
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -38,6 +39,8 @@ from .common import materialize, shingles, text_buffers, words
 _GLYPHS = str.maketrans("авекмнорстухіјѕԁɡӏɑαβερικοντυχ", "abekmhopctyxijsdglaabepikovtux")
 #: Digits and signs that stand for letters within a word.
 _SIGNS = str.maketrans("01345789@$!|", "oieastbgasil")
+#: Combining marks and format characters: accents, zero-width spaces and joiners, soft hyphens.
+_UNSEEN = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Me", "Cf")) + "]+")
 _WORD = re.compile(r"[^\W_][\w@$!|*'-]*", re.UNICODE)
 #: Used where no labels are given: plain insults, each with its weight.
 SEED = {"idiot": 2.0, "moron": 2.0, "scum": 2.0, "stupid": 1.5, "worthless": 1.5, "pathetic": 1.5, "disgusting": 1.2, "loser": 1.5, "trash": 1.0, "clown": 1.0}
@@ -48,7 +51,8 @@ STEMS = (4, 5, 6)
 
 def fold(text: str) -> str:
     """Lower-case words joined by single spaces, disguises undone; a space at each end."""
-    text = unicodedata.normalize("NFKC", text) if not text.isascii() else text
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", unicodedata.normalize("NFKD", text)))
     out = []
     for w in _WORD.findall(text.lower().translate(_GLYPHS)):
         if not w.isalpha():

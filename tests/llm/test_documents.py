@@ -127,6 +127,13 @@ def test_folding_and_exceptions():
     assert m.raw("idiot " + "word " * 2000) < m.raw("idiot") and 0 <= m.score(None) < 0.3
 
 
+def test_folding_drops_accents_and_unseen_characters():
+    assert toxicity.fold("ídiöt stu\u200bpid mo\u0301ron lo\u00adser Älter") == " idiot stupid moron loser alter "
+    m = toxicity.Model(dict(toxicity.SEED))
+    assert m.raw("an ìdíôt") == m.raw("an id\u200diot") == m.raw("an idiot") > 0
+    assert toxicity.fold("한글") == " 한글 "
+
+
 def test_model_learns_and_leaves_clean_rows(spark):
     import random
 
