@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, embeddings, html, packing, pii, secrets, sql, substring, toxicity, warc
 from .neardup import near_duplicates
@@ -36,8 +37,16 @@ def op6_lexicon_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(_read(spark, d, "documents"), _read(spark, d, "labels"))
 
 
+def _pack_apart(docs: DataFrame) -> DataFrame:
+    """Packed so that near copies share no bin: their clusters are the components of op9."""
+    near = near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").alias("__id"), "component_id").distinct()
+    joined = docs.join(near, F.col("doc_id") == F.col("__id"), "left")
+    text = F.xxhash64(F.lower(F.btrim(F.coalesce("text", F.lit("")))))  # rows without an id
+    return packing.pack(joined.withColumn("__cluster", F.coalesce("component_id", text)), cluster_col="__cluster")
+
+
 def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_read(spark, d, "documents"))
+    return _pack_apart(_read(spark, d, "documents"))
 
 
 def op8_trigram_secrets(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import decontam, html, packing, pii, secrets, toxicity, warc
+from brindle.llm import decontam, html, packing, pii, registry, secrets, toxicity, warc
 
 from .helpers import SCHEMA, documents, shingles
 
@@ -291,6 +291,15 @@ def test_best_fit_agrees_with_search_of_all_bins():
         assert len(set(got)) == len(set(want)) and room(got) == room(want)
 
 
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    words = [f"n{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), "quite another text of some words"]
+    t = spark.createDataFrame([(i, x, "en", f"s{i}", len(x)) for i, x in enumerate(texts)], SCHEMA)
+    t.write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r["doc_id"]: r["bin_id"] for r in registry.op7_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert len(bins) == 3 and bins[0] != bins[1]
+
+
 def test_packing_is_whole_and_keeps_its_promises(spark):
     docs = documents(spark).withColumn("bin_id", F.lit("clash"))
     texts = {r["doc_id"]: (len((r["text"] or "").split()), r["source"], (r["text"] or "").strip().lower()) for r in docs.collect()}
