@@ -43,31 +43,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def _clear() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has gone; the folder's owner clears it
             return
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m"):
-    """While this lasts, Arrow batches between Spark and Python hold so many bytes at most, for Python's memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+def _settings(spark: SparkSession, **values: str):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: While a scratch table is written, Arrow batches between Spark and Python are small, for Python's memory,
+#: and the shuffle files of the write go when it has ended.
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to a scratch table and read it again: lineage ends here."""
-    path = scratch_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    with _settings(spark, **_WRITING):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last reader has been materialized itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
+        _made.remove((t.sparkSession, t._scratch_path))
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
