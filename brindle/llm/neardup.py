@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, materialize, mix, only, shingles, text_buffers, words
+from .common import chunks, components, is_small, materialize, mix, only, shingles, text_buffers, words
 
 BUCKETS = 1 << 18
 SIGNATURE = "id long, n_shingles long, set_a long, set_b long, sig array<int>"
@@ -159,8 +159,11 @@ def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
     short = post.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     crossed = short.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
     starred = post.where(F.col("n") > small).where("id != lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    tried = materialize(crossed.union(starred).groupBy("a", "b").agg(F.count("*").alias("met")).select("a", "b"), "tried")
-    found = materialize(_confirmed(materialize(_colliding(tried, reps, matches), "pairs"), docs, id_col, text_col, n, percent).distinct(), "links")
+    tried = materialize(crossed.union(starred).groupBy("a", "b").agg(F.count("*").alias("met")), "tried")
+    # Enough collisions in the posted lists decide; fewer may be made up for in the skipped ones.
+    decided = tried.where(F.col("met") >= matches).select("a", "b")
+    open_ = tried.where(F.col("met") < matches).select("a", "b")
+    found = materialize(_confirmed(materialize(decided.union(_colliding(open_, reps, matches)), "pairs"), docs, id_col, text_col, n, percent).distinct(), "links")
     long = post.where(F.col("n") > small).select("key", "id")
     comp = components(found, "a", "b")
     marked = long.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
@@ -227,17 +230,16 @@ def _tiles(rows: DataFrame, size, settle) -> DataFrame:
     to the tiles of its block, one small row a document; tiles are put
     together in Python, one at a time.
     """
-    by = rows.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-    main = by.groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    sided = rows.join(main, "grp").withColumn("odd", F.col("comp") != F.col("main")).drop("main")
+    held = F.sum(size) if size is not None else F.lit(0)
+    by = rows.groupBy("grp", "comp").agg(F.count("*").alias("n"), held.alias("bytes"))
+    whole = by.groupBy("grp").agg(F.max(F.struct("n", "comp", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
-    def count(odd: bool):
-        mine = F.col("odd") == odd
-        held = F.coalesce(F.sum(F.when(mine, size)), F.lit(0)) if size is not None else F.lit(0)
-        return F.ceil(F.greatest(F.count_if(mine) / BLOCK_ROWS, held / BLOCK_BYTES)).cast("int")
+    def blocks(n, held):
+        return F.ceil(F.greatest(n / BLOCK_ROWS, held / BLOCK_BYTES)).cast("int")
 
-    sizes = sided.groupBy("grp").agg(count(False).alias("mains"), count(True).alias("odds"))
-    dealt = sided.join(sizes.where("odds > 0"), "grp")
+    mains, odds = blocks(F.col("main.n"), F.col("main.bytes")), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
+    groups = materialize(whole.select("grp", F.col("main.comp").alias("main"), mains.alias("mains"), odds.alias("odds")).where("odds > 0"), "groups")
+    dealt = rows.join(F.broadcast(groups) if is_small(groups, 200_000) else groups, "grp").withColumn("odd", F.col("comp") != F.col("main")).drop("main")
     within = F.when(F.col("odd"), F.col("mains") + F.pmod(F.xxhash64("id"), F.greatest("odds", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.greatest("mains", F.lit(1))))
     dealt = dealt.withColumn("block", within.cast("int"))
     partners = F.when(F.col("odd"), F.sequence(F.lit(0), F.col("mains") + F.col("odds") - 1)).otherwise(F.sequence(F.col("mains"), F.col("mains") + F.col("odds") - 1))
