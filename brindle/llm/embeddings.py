@@ -76,10 +76,7 @@ def tile(xa: np.ndarray, xb: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
                 a, b = a[a < b], b[a < b]
             if not len(a):
                 continue
-            if len(a) * 20 > near.size:
-                cosine = (xa[rows] @ xb[cols].T)[a, b]
-            else:
-                cosine = np.concatenate([np.einsum("ij,ij->i", xa[rows][a[k : k + 65536]], xb[cols][b[k : k + 65536]]) for k in range(0, len(a), 65536)])
+            cosine = np.concatenate([np.einsum("ij,ij->i", xa[rows][a[k : k + 65536]], xb[cols][b[k : k + 65536]]) for k in range(0, len(a), 65536)])
             a, b = a + i, b + j
             linked = cosine / (na[a] * nb[b]) >= least
             yield a[linked], b[linked]
@@ -142,6 +139,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 shift = 0 if one else len(ia)
                 links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
                 for a, b in tile(xa, xb, np.sqrt((xa * xa).sum(1)), np.sqrt((xb * xb).sum(1)), least, one):
+                    other = ia[a] != ib[b]  # vectors of one id are no links of each other
+                    a, b = a[other], b[other]
                     links += np.bincount(a, mb[b], len(ids)).astype(np.int64)
                     links += np.bincount(b + shift, ma[a], len(ids)).astype(np.int64)
                     forest.join(a, b + shift)
