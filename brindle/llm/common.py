@@ -87,8 +87,17 @@ def release(*tables: DataFrame) -> None:
         _made.remove((t.sparkSession, t._scratch_path))
 
 
+#: Bytes of a scratch table (compressed) up to which it may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a materialized table of a few numbers a row may be broadcast."""
+    """Whether a materialized table may be broadcast: by its bytes on disk, and by its rows."""
+    spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
+    if path is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength() > BROADCAST_BYTES:
+            return False
     return df.count() <= rows
 
 

@@ -6,31 +6,39 @@ fields (URL, IP address, date, content type, length), version 2 ten (with
 result code, checksum, location, offset and file name). Each record is a
 header line and as many bytes as it declares. The converter reads either,
 resynchronises on nothing but these lengths, and writes the equivalent WARC
-record: a name-based UUID, an ISO timestamp, a type by the URL's scheme, the
-SHA-1 of block and payload in base 32.
-
-Of HTTP records with equal payloads, one is a response, and others are revisits of it.
-
-Archives are written with Spark's own text sink (raw bytes; the record
-separator is the sink's line separator) and read with its binary-file source,
-so any store that Spark reaches will do. ``records_per_file`` bounds a file,
-and so what a task holds when it reads one.
-
-Rows of ``round_trip``: null html is an empty payload, a null url is
-``unknown:``. Repeated rows of one page and payload are all written. A null
-page id ranks below any other. Only the named columns are read.
+record: a name-based UUID (of the ARC file and the record's place in it, so no
+two records share one), an ISO timestamp, a type by the URL's scheme, the SHA-1
+of block and payload in base 32.
+
+Of HTTP records with equal payloads, that with the largest page id (an HTTP
+header, where there is one), then the last one, is a response, and others are
+revisits of it. An index of the archives' records decides that; payloads are
+shuffled only if too many of them are repeated for a broadcast.
+
+Archives are gzip files of ``bytes_per_file`` bytes or little more (a larger
+record has a file of its own), which is what a task holds at once. They are
+written with Spark's own text sink, one row a file, and read with its
+binary-file source, so any store that Spark reaches will do.
+
+Rows of ``round_trip``, which stores pages as ARC files, converts these and
+reads the WARC files back: null html is an empty payload, a null url is
+``unknown:``. Repeated rows of one page and payload are all written; those of
+the largest id are all responses. A null page id ranks below any other. Ids are
+cast to long. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import is_small, materialize, scratch_path
@@ -55,6 +63,7 @@ class Record:
     block: bytes
     ip: str = "0.0.0.0"
     fields: dict[str, str] = field(default_factory=dict)
+    place: str = ""  # file name and offset, where the record was read
 
 
 def digest(data: bytes) -> str:
@@ -93,7 +102,8 @@ def read_arc(data: bytes) -> Iterator[Record]:
     names = tuple(lines[1].split(" "))
     if names[0] != "URL" or names[-1] != "Archive-length":
         raise ArchiveError(f"fields {names}")
-    yield _arc_record(V1 if len(first) == 5 else names, first, block)
+    name = first[0].removeprefix("filedesc://")
+    yield _arc_record(V1 if len(first) == 5 else names, first, block, f"{name}:0")
     at = start + len(block)
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
@@ -110,13 +120,13 @@ def read_arc(data: bytes) -> Iterator[Record]:
         start, size = line_end + 1, int(values[-1])
         if start + size > len(data):
             raise ArchiveError(f"record at byte {at} is cut short")
-        yield _arc_record(names, values, data[start : start + size])
+        yield _arc_record(names, values, data[start : start + size], f"{name}:{at}")
         at = start + size
 
 
-def _arc_record(names: tuple[str, ...], values: list[str], block: bytes) -> Record:
+def _arc_record(names: tuple[str, ...], values: list[str], block: bytes, place: str) -> Record:
     f = dict(zip(names, values, strict=False))
-    return Record(f["URL"], f["Archive-date"], f["Content-type"], block, f["IP-address"], f)
+    return Record(f["URL"], f["Archive-date"], f["Content-type"], block, f["IP-address"], f, place)
 
 
 def timestamp(arc_date: str) -> str:
@@ -135,14 +145,22 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, v in pairs}, payload
 
 
+def kind_of(r: Record) -> str:
+    """The WARC type of a record that revisits nothing."""
+    if r.url.startswith("filedesc:"):
+        return "warcinfo"
+    return "response" if r.url.startswith(("http:", "https:")) or r.block.startswith(b"HTTP/") else "resource"
+
+
 def to_warc(r: Record, refers_to: Record | None = None, more: dict[str, str] | None = None) -> bytes:
     """The equivalent WARC record, without the two line ends after it."""
-    if r.url.startswith("filedesc:"):
-        kind, mime, block = "warcinfo", "application/warc-fields", b"software: brindle\r\nformat: WARC File Format 1.1\r\n"
-    elif r.url.startswith(("http:", "https:")) or r.block.startswith(b"HTTP/"):
-        kind, mime, block = "response", "application/http; msgtype=response", r.block
+    kind = kind_of(r)
+    if kind == "warcinfo":
+        mime, block = "application/warc-fields", b"software: brindle\r\nformat: WARC File Format 1.1\r\n"
+    elif kind == "response":
+        mime, block = "application/http; msgtype=response", r.block
     else:
-        kind, mime, block = "resource", r.mime if r.mime and r.mime != "-" else "application/octet-stream", r.block
+        mime, block = r.mime if r.mime and r.mime != "-" else "application/octet-stream", r.block
     payload = split_http(r.block)[1] if kind == "response" else block
     sum_ = digest(payload)
     head = {"WARC-Type": kind, "WARC-Record-ID": record_id(r, sum_), "WARC-Date": timestamp(r.date), "WARC-Target-URI": r.url, "WARC-IP-Address": r.ip}
@@ -156,8 +174,8 @@ def to_warc(r: Record, refers_to: Record | None = None, more: dict[str, str] | N
 
 
 def record_id(r: Record, payload_digest: str) -> str:
-    """The same record always gets the same identifier."""
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{r.url} {r.date} {payload_digest}')}>"
+    """The same record always gets the same identifier, and no other record does."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, r.place or f'{r.url} {r.date} {payload_digest}')}>"
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -180,72 +198,128 @@ def arc_to_warc(data: bytes) -> bytes:
     return b"".join(to_warc(r) + END for r in read_arc(data))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, records_per_file: int = 2000) -> None:
-    """Convert the ARC files at a path (gzip members are inflated); each stays in one task."""
-    import gzip
+def _inflated(raw) -> bytes:
+    data = raw.as_buffer().to_pybytes()
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def _write(files: DataFrame, path: str, end: bytes) -> None:
+    """One file a row of ``files`` (value binary), ``end`` after it."""
+    rows = files.select(F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", end.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
+def write_arcs(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bytes_per_file: int = 16 << 20) -> None:
+    """Store pages as an old crawler would have: ARC files of version 1 and 2 by turns."""
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
+    label = path.rstrip("/").rpartition("/")[2]
 
     def run(batches):
+        held, size, n, task = [], 0, 0, TaskContext.get().partitionId()
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([write_arc(held, 1 + n % 2, f"{label}-{task:06}-{n:06}.arc")], pa.binary())], ["value"])
+
         for batch in batches:
-            for raw in batch.column(0):
-                data = raw.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                for r in read_arc(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([to_warc(r)], pa.binary())], ["value"])
+            for r in zip(*batch.columns, strict=True):
+                held.append(_page_record(*(x.as_py() for x in r)))
+                size += len(held[-1].block)
+                if size >= bytes_per_file:
+                    yield packed()
+                    held, size, n = [], 0, n + 1
+        if held:
+            yield packed()
 
-    files = spark.read.format("binaryFile").load(arc_path).select("content")
-    _write(files.mapInArrow(run, "value binary"), warc_path, records_per_file)
+    _write(rows.mapInArrow(run, "value binary"), path, b"\n")
 
 
-def _write(records: DataFrame, path: str, records_per_file: int) -> None:
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+#: What is read of an ARC record; ``sum``, ``size`` and ``page`` (its id) are null but for HTTP records.
+_RECORD = "place string, url string, date string, mime string, ip string, sum string, size long, page long, block binary"
 
 
-def _page_record(page_id: int | None, url: str | None, payload: bytes) -> Record:
-    """A page as an old crawler would have stored it: an HTTP message under a URL without blanks."""
-    clean = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "unknown:")
-    extra = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{extra}Content-Length: {len(payload)}\r\n\r\n"
-    return Record(clean, "20240101000000", "text/html", head.encode() + payload)
+def read_arcs(spark: SparkSession, path: str, batch_bytes: int = 4 << 20) -> DataFrame:
+    """One row per record of the ARC files at ``path``, version blocks included."""
 
+    def run(batches):
+        rows, size = [], 0
+        names = [c.split()[0] for c in _RECORD.split(", ")]
+        kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in _RECORD.split(", ")]
 
-def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = 2000) -> None:
-    """Store each page as an ARC record, convert it and write WARC files to ``path``.
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    Of records with equal payloads of at least ``least`` bytes that with the
-    largest id is the response, the others revisit it. Payload digests are
-    compared, payloads aren't shuffled.
+        for batch in batches:
+            for raw in batch.column(0):
+                data = _inflated(raw)
+                for r in read_arc(data) if data else ():  # a sink without rows leaves an empty file
+                    sum_ = length = page = None
+                    if kind_of(r) == "response":
+                        headers, payload = split_http(r.block)
+                        sum_, length, page = digest(payload), len(payload), headers.get("x-page-id")
+                    rows.append((r.place, r.url, r.date, r.mime, r.ip, sum_, length, None if page is None else int(page), r.block))
+                    size += len(r.block)
+                    if size >= batch_bytes:
+                        yield packed()
+                        rows, size = [], 0
+        if rows:
+            yield packed()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least: int = 0, bytes_per_file: int = 16 << 20) -> None:
+    """Convert the ARC files at a path, gzip or not, to WARC files.
+
+    Of HTTP records with equal payloads of at least ``least`` bytes all but one are revisits.
     """
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    key: Column = F.sha1(F.col("html").cast("binary"))
-    summed = materialize(rows.where(F.octet_length("html") >= least).select("id", "url", key.alias("sum")), "sums")
-    lead = summed.groupBy("sum").agg(F.max(F.struct("id", "url")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    roles = summed.join(lead, "sum").where("id is distinct from lead.id").select(F.col("sum").alias("s"), "lead").distinct()
-    roles = materialize(roles, "leads")
-    side = F.broadcast(roles) if is_small(roles, 200_000) else roles
-    marked = rows.withColumn("sum", key).join(side, F.col("sum") == F.col("s"), "left")
-    lead_id = F.when(~F.col("id").eqNullSafe(F.col("lead.id")) & (F.octet_length("html") >= least), F.col("lead.id"))
-    marked = marked.select("id", "url", F.col("html").cast("binary").alias("html"), lead_id.alias("to"), F.col("lead.url").alias("to_url"))
+    records = read_arcs(spark, arc_path)
+    index = materialize(records.where(F.col("size") >= least).select("sum", "page", "place", "url", "date"), "index")
+    lead = index.groupBy("sum").agg(F.max(F.struct("page", "place", "url", "date")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    leads = materialize(lead.select(F.col("sum").alias("key"), "lead"), "leads")
+    side = F.broadcast(leads) if is_small(leads, 200_000) else leads
+    other = F.when(F.col("page").isNull() & F.col("lead.page").isNull(), F.col("place") != F.col("lead.place")).otherwise(~F.col("page").eqNullSafe(F.col("lead.page")))
+    marked = records.join(side, (F.col("sum") == F.col("key")) & (F.col("size") >= least), "left").withColumn("lead", F.when(other, F.col("lead")))
+    marked = marked.select("place", "url", "date", "mime", "ip", "size", "page", "block", "lead")
 
     def run(batches):
+        held, size = [], 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], ["value"])
+
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                arc = write_arc([_page_record(r["id"], r["url"], r["html"])], 1 + (r["id"] or 0) % 2)
-                _, record = read_arc(arc)
-                more = {"X-Payload-Length": str(len(r["html"]))} | ({} if r["id"] is None else {"X-Page-Id": str(r["id"])})
-                target = None
-                if r["to"] is not None:
-                    target = _page_record(r["to"], r["to_url"], b"")
-                    more["X-Refers-To-Page-Id"] = str(r["to"])
-                out.append(to_warc(record, target, more))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for place, url, date, mime, ip, length, page, block, to in zip(*batch.columns, strict=True):
+                record, to = Record(url.as_py(), date.as_py(), mime.as_py(), block.as_py(), ip.as_py(), place=place.as_py()), to.as_py()
+                more, target = {}, None
+                if length.is_valid:
+                    more["X-Payload-Length"] = str(length.as_py())
+                if page.is_valid:
+                    more["X-Page-Id"] = str(page.as_py())
+                if to is not None:
+                    target = Record(to["url"], to["date"], "", b"", place=to["place"])
+                    more |= {} if to["page"] is None else {"X-Refers-To-Page-Id": str(to["page"])}
+                held.append(to_warc(record, target, more))
+                size += len(held[-1])
+                if size >= bytes_per_file:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    _write(marked.mapInArrow(run, "value binary"), warc_path, END)
+
 
-    _write(marked.mapInArrow(run, "value binary"), path, records_per_file)
+def _page_record(page_id: int | None, url: str | None, payload: bytes) -> Record:
+    """A page as an old crawler would have stored it: an HTTP message under a URL without blanks."""
+    clean = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "unknown:")
+    extra = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{extra}Content-Length: {len(payload)}\r\n\r\n"
+    return Record(clean, "20240101000000", "text/html", head.encode() + payload)
 
 
 def read_pages(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFrame:
-    """One row per record at ``path``: id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row per response or revisit at ``path``: id, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's length and digest are measured anew and must be what its header says.
     """
@@ -254,7 +328,9 @@ def read_pages(spark: SparkSession, path: str, id_col: str = "page_id") -> DataF
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
-                for head, block in read_warc(raw.as_buffer().to_pybytes()):
+                for head, block in read_warc(_inflated(raw)):
+                    if head["WARC-Type"] not in ("response", "revisit"):
+                        continue
                     size, said = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if head["WARC-Type"] == "response":
                         payload = split_http(block)[1]
@@ -269,8 +345,10 @@ def read_pages(spark: SparkSession, path: str, id_col: str = "page_id") -> DataF
     return files.mapInArrow(run, f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write the pages to scratch archives and read these back."""
-    path = scratch_path(pages.sparkSession, "warc")
-    write_pages(pages, path, **options)
-    return read_pages(pages.sparkSession, path, options.get("id_col", "page_id"))
+def round_trip(pages: DataFrame, *, least: int = 0, bytes_per_file: int = 16 << 20, **columns) -> DataFrame:
+    """Write the pages to scratch ARC files, convert these to WARC files and read them back."""
+    spark = pages.sparkSession
+    old, new = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    write_arcs(pages, old, bytes_per_file=bytes_per_file, **columns)
+    convert(spark, old, new, least=least, bytes_per_file=bytes_per_file)
+    return read_pages(spark, new, columns.get("id_col", "page_id"))
