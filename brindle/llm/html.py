@@ -9,11 +9,17 @@ are deleted: what a site repeats from page to page is its frame.
 Copies of one article would delete each other. Pages are copies if the lines
 that their texts would keep without differencing agree, by characters: frame
 lines that no markup tells are many but short. Copies are one group, so the
-nearest different page is found however many copies lie between. A line in a
-page's article element is deleted if two partners have it that are no copies
-of each other: two articles alone may quote one source. Elements whose markup says that they aren't
-content (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are left out whatever the comparison finds.
+nearest different page is found however many copies lie between.
+
+Markup says two things. Elements that aren't content (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
+out whatever the comparison finds; inside an article a class or id must name
+such a thing as a whole. And paragraphs, headings, list items, quotations and
+cells inside article elements are the articles' text, even if other pages have
+them too: articles quote each other. The other blocks of an article are deleted
+if two partners have them that are no copies of each other; a page without an
+article element is its lines that no partner shares. All articles outside frame
+elements are kept, in page order.
 
 Only hashes of lines are shuffled and sorted, never pages. A page at the edge
 of a range has partners on one side only. A task holds the hashes of one host
@@ -49,7 +55,16 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark a part as frame.
 _MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond reply replies cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay footer header masthead menu navbar nav navigation newsletter subscribe subscription signup pager pagination promo promotion promoted recommended recommendations related share sharing social sidebar sponsor sponsored toolbar widget widgets search login skip contentinfo complementary discussion disqus".split())
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: What may follow a mark in a class or id inside an article.
+_PART = "ads? articles? area banners? bars? blocks? body box buttons? container content form group heading inner items? links? lists? posts? section slots? texts? title units? widgets? wrap wrapper".split()
+_WHOLE = re.compile(rf"(?:{'|'.join(sorted(_MARKS))})(?:[-_]*(?:{'|'.join(_PART)}|[0-9]+))*")
+#: Elements whose text, inside an article, is the article's.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
+#: A tag whose quotes are never closed is read up to the next >.
+_STARTS = re.compile(r"</?[a-zA-Z]")
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 
 
 def _is_frame(tag: str, attributes: str, in_article: bool) -> bool:
@@ -62,15 +77,15 @@ def _is_frame(tag: str, attributes: str, in_article: bool) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if any(w in _MARKS for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        value = _CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower()
+        if any(_WHOLE.fullmatch(w) for w in value.split()) if in_article else any(w in _MARKS for w in _SPLIT.split(value)):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, in a frame element, number of its article or 0) of each text block, in page order."""
-    out: list[tuple[str, bool, int]] = []
+def lines(page: str) -> list[tuple[str, bool, int, bool]]:
+    """(text, in a frame element, number of its article or 0, prose of an article) of each text block, in page order."""
+    out: list[tuple[str, bool, int, bool]] = []
     buffer: list[str] = []
     stack: list[str] = []
     frames: list[int] = []  # depths in the stack at which a frame element began
@@ -82,11 +97,34 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append((text, bool(frames), number if articles else 0))
+                out.append((text, bool(frames), number if articles else 0, bool(articles) and not _PROSE.isdisjoint(stack[articles[0] :])))
             buffer.clear()
 
+    def closed(tag: str) -> None:
+        """Drop the innermost ``tag`` and what is open inside it."""
+        while stack:
+            top = stack.pop()
+            if frames and frames[-1] >= len(stack):
+                flush()
+                frames.pop()
+            if articles and articles[-1] >= len(stack):
+                flush()
+                articles.pop()
+            if top == tag:
+                break
+
+    quoted = True  # until a tag turns up whose quotes are never closed: later ones would be looked for in vain
     while at < size:
-        m = _TOKEN.match(page, at)
+        m = (_TOKEN if quoted or page[at] != "<" or page[at + 1 : at + 2] in "!?" else _OPEN_TAG).match(page, at)
+        if quoted and m[0] == "<" and _STARTS.match(page, at):
+            quoted, m = False, _OPEN_TAG.match(page, at)
+        if m is None and (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/") and page.find(">", at) < 0:
+            buffer.append(page[at:].replace("<", "&lt;"))  # no tag can end any more
+            break
+        if m is None:
+            buffer.append("&lt;")
+            at += 1
+            continue
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -101,22 +139,15 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
             if tag in _BLOCK or tag == "br":
                 flush() if tag != "br" else buffer.append(" ")
             if tag in stack:
-                while stack:
-                    top = stack.pop()
-                    if frames and frames[-1] >= len(stack):
-                        flush()
-                        frames.pop()
-                    if articles and articles[-1] >= len(stack):
-                        flush()
-                        articles.pop()
-                    if top == tag:
-                        break
+                closed(tag)
             continue
         if tag == "br":
             buffer.append(" ")
             continue
         if tag in _BLOCK:
             flush()
+            if "p" in stack and _BLOCK.isdisjoint(stack[len(stack) - stack[::-1].index("p") :]):
+                closed("p")  # a block ends an open paragraph
         if tag in _RAW:
             lowered = page.lower() if lowered is None else lowered
             end = lowered.find(f"</{tag}", at)
@@ -147,13 +178,10 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def _main(found: list[tuple[str, bool, int]]) -> int:
-    """The article that holds the most text, 0 if there is none."""
-    size: dict[int, int] = {}
-    for text, frame, article in found:
-        if article and not frame:
-            size[article] = size.get(article, 0) + len(text)
-    return max(size, key=lambda a: (size[a], -a), default=0)
+def own_lines(found: list[tuple[str, bool, int, bool]]) -> list[int]:
+    """The positions of the lines that a page's text may keep: those of its articles, if it has any, outside frame elements."""
+    article = any(a and not frame for _, frame, a, _ in found)
+    return [i for i, (_, frame, a, _) in enumerate(found) if not frame and (a or not article)]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -163,6 +191,15 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     longest increasing run of these is the alignment (time by matches, not by
     the product of lengths).
     """
+    low, most = 0, min(len(a), len(b))
+    while low < most and a[low] == b[low]:  # what both begin and end with needs no search
+        low += 1
+    high = 0
+    while high < most - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    if low or high:
+        inner = common_lines(a[low : len(a) - high], b[low : len(b) - high]) if most > low + high else []
+        return [*range(low), *(low + i for i in inner), *range(len(a) - high, len(a))]
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
@@ -200,8 +237,9 @@ COPY = 0.8
 class _Page:
     """The lines of a page: hashes of all, positions and lengths of those that its text may keep."""
 
-    def __init__(self, key: int, hashes: np.ndarray, own: np.ndarray, sizes: np.ndarray, article: bool):
+    def __init__(self, key: int, hashes: np.ndarray, own: np.ndarray, sizes: np.ndarray, loose: np.ndarray, article: bool):
         self.key, self.hashes, self.own, self.sizes, self.article = key, hashes, own, sizes, article
+        self.loose = set(loose.tolist())  # lines that differencing may delete
         self.total = int(sizes.sum())
 
     def mine(self) -> list[int]:
@@ -219,10 +257,10 @@ class _Page:
         return sum(sizes[i] for i in common_lines(mine, other.mine())) > least
 
     def shares(self, other: _Page) -> set[int]:
-        """The positions of lines of the text that ``other`` has too."""
-        if other.all.isdisjoint(self.mine()):
+        """The positions of lines that may go and that ``other`` has too."""
+        if not self.loose or other.all.isdisjoint(self.hashes[list(self.loose)].tolist()):
             return set()
-        return set(common_lines(self.hashes.tolist(), other.hashes.tolist())) & set(self.own.tolist())
+        return set(common_lines(self.hashes.tolist(), other.hashes.tolist())) & self.loose
 
 
 def partners(pages: list[_Page]) -> list[list[_Page]]:
@@ -255,7 +293,7 @@ def cuts(pages: list[_Page]) -> list[tuple[int, list[int]]]:
     out = []
     for page, before, after in zip(pages, partners(pages), partners(pages[::-1])[::-1], strict=True):
         near = before[:1] + after[:1]
-        if page.article:
+        if page.article and near:
             other = next((x for x in near[1:] + before[1:] + after[1:] if not x.copies(near[0])), None)
             cut = page.shares(near[0]) & page.shares(other) if other else set()
         else:
@@ -273,12 +311,12 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             rows = []
             for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = lines(page or "")
-                main = _main(found)
                 host, path = split_url(url)
-                own = [i for i, (_, frame, a) in enumerate(found) if not frame and a == main]
-                rows.append((key, host, path, [xxhash.xxh64_intdigest(t) - 2**63 for t, _, _ in found], own, [len(found[i][0]) for i in own], bool(main)))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "host", "path", "hashes", "own", "sizes", "article"])
+                own = own_lines(found)
+                article = any(found[i][2] for i in own)
+                rows.append((key, host, path, [xxhash.xxh64_intdigest(x[0]) - 2**63 for x in found], own, [len(found[i][0]) for i in own], [i for i in own if not found[i][3]], article))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), *(pa.list_(pa.int32()),) * 3, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "host", "path", "hashes", "own", "sizes", "loose", "article"])
 
     def compare(batches):
         held: list[_Page] = []
@@ -291,7 +329,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys, hosts, articles = (batch.column(n).to_pylist() for n in ("key", "host", "article"))
-            parts = [batch.column(n) for n in ("hashes", "own", "sizes")]
+            parts = [batch.column(n) for n in ("hashes", "own", "sizes", "loose")]
             for i, host in enumerate(hosts):
                 if held and host != last:
                     yield settled()
@@ -299,7 +337,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                 held.append(_Page(keys[i], *(c[i].values.to_numpy(zero_copy_only=False).copy() for c in parts), articles[i]))
         yield settled()
 
-    read_lines = materialize(pages.mapInArrow(read, "key long, host string, path string, hashes array<long>, own array<int>, sizes array<int>, article boolean"), "lines")
+    read_lines = materialize(pages.mapInArrow(read, "key long, host string, path string, hashes array<long>, own array<int>, sizes array<int>, loose array<int>, article boolean"), "lines")
     ranged = read_lines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     return ranged.mapInArrow(compare, "key long, cut array<int>")
 
@@ -307,8 +345,8 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 def text_of(page: str | None, cut: list[int] | None = None) -> str:
     """The main text of a page, without the lines at ``cut``."""
     found = lines(page or "")
-    main, gone = _main(found), set(cut or ())
-    kept = [t for i, (t, frame, a) in enumerate(found) if not frame and a == main and i not in gone]
+    gone = set(cut or ())
+    kept = [found[i][0] for i in own_lines(found) if i not in gone]
     return "\n\n".join(kept)
 
 
@@ -317,7 +355,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     key = F.xxhash64("id", "url", "html")
     cuts = materialize(shared_lines(rows.select(key.alias("key"), "url", "html")).dropDuplicates(["key"]), "cuts")
-    side = F.broadcast(cuts) if is_small(cuts, 100_000) else cuts
+    side = F.broadcast(cuts) if is_small(cuts) else cuts
     joined = rows.withColumn("key", key).join(side, "key", "left").select("id", "url", "html", "cut")
 
     def run(batches):

@@ -1,3 +1,4 @@
+import gzip
 import re
 
 import pytest
@@ -170,6 +171,9 @@ def test_article_text():
     assert html.text_of(PAGE) == "Head & line\n\nOne two three\n\nFour five"
     assert html.text_of(None) == "" and html.text_of("plain &lt;text&gt;") == "plain <text>" and html.text_of("<p>a<p>b") == "a\n\nb"
     assert html.text_of("<nav><ul><li>Menu<article><p>Body</p></article>") == "Body"
+    assert html.text_of("<main><article><p class='notice-of-motion'>A</p><div class='ad-box'>no</div><p id='search-results'>B</p></article><p>C</p></main><article>D</article>") == "A\n\nB\n\nC\n\nD"
+    assert html.text_of("<article>A</article><div class='sidebar'><article>no</article></div><article>B</article><p>no") == "A\n\nB"
+    assert html.text_of("<p>a" + '<a "' * 20_000).startswith("a<a") and html.text_of("<p>a <b 'c>d</b><p>1 < 2</p>") == "a d\n\n1 < 2"
 
 
 def test_differencing_removes_what_pages_share(spark):
@@ -188,15 +192,18 @@ def _texts(spark, pages):
     return {r["page_id"]: r["text"].split("\n\n") for r in html.extract(t.coalesce(1)).collect()}
 
 
-def test_differencing_cuts_repeated_lines_inside_articles(spark):
-    """But neither copies of an article nor a passage of two articles."""
-    article = lambda *lines: "<body><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body>"
-    own = [[f"Paragraph {k} of page {i} and what it says" for k in range(4)] for i in range(6)]
+def test_differencing_cuts_loose_blocks_inside_articles(spark):
+    """But neither copies of an article, nor a block of two articles, nor paragraphs. Without differencing the texts are worse."""
+    article = lambda head, lines, foot: f"<body><article><div>{head}</div>" + "".join(f"<p>{x}</p>" for x in lines) + "".join(f"<div>{x}</div>" for x in foot) + "</article></body>"
+    own = [[f"Paragraph {k} of page {i} and what it says" for k in range(4)] + ["All rights reserved, says the author"] for i in range(6)]
     quote = "A sentence of some other source that two pages quote"
-    pages = [article("Share this page", *own[i], *[quote] * (i in (1, 2)), "Thanks for reading") for i in range(6)]
+    pages = [article("Share this page", own[i], [*[quote] * (i in (1, 2)), "Thanks for reading"]) for i in range(6)]
     pages[4:4] = [pages[4]] * 3
     got = _texts(spark, pages)
-    assert [got[i] for i in range(9)] == [own[0], [*own[1], quote], [*own[2], quote], own[3], own[4], own[4], own[4], own[4], own[5]]
+    want = [own[0], [*own[1], quote], [*own[2], quote], own[3], own[4], own[4], own[4], own[4], own[5]]
+    assert [got[i] for i in range(9)] == want
+    plain = [html.text_of(p).split("\n\n") for p in pages]
+    assert all(set(w) < set(p) for w, p in zip(want, plain, strict=True))
 
 
 def test_differencing_goes_past_copies_and_sparse_pages(spark):
@@ -245,7 +252,7 @@ def test_arc_to_warc(version):
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "WARC/1.1\r\n\r\n\r\n\r\n"), (None, "http://f", "<p>é</p>"), (1, "http://a/ b", "<p>é</p>")]
     t = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record_type", F.lit("clash"))
-    got = warc.round_trip(t, records_per_file=2).collect()
+    got = warc.round_trip(t.coalesce(1), bytes_per_file=400).collect()
     assert len(got) == len(pages)
     by = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got}
     assert by == {1: (9, "revisit", 2), 2: (9, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), 5: (16, "response", None), None: (9, "revisit", 2)}
@@ -253,9 +260,19 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(t, least=5).where("page_id = 3").first()["record_type"] == "response"
     (tmp_path / "x.arc").write_bytes(warc.write_arc([warc.Record("http://b/", "2024", "text/html", b"HTTP/1.0 200 OK\r\n\r\n\xff\xfe")]))
     warc.convert(spark, str(tmp_path / "x.arc"), str(tmp_path / "out"))
-    parts = [p.read_bytes() for p in (tmp_path / "out").glob("part-*")]
+    parts = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("part-*")]
     assert [h["WARC-Type"] for p in parts for h, _ in warc.read_warc(p)] == ["warcinfo", "response"] and b"\xff\xfe" in b"".join(parts)
     assert warc.round_trip(t.limit(0)).count() == 0
+    # Files are bounded by bytes, and equal pages have identifiers of their own.
+    same = spark.createDataFrame([(i, "http://a/", "x" * 300) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    warc.write_arcs(same, str(tmp_path / "arcs"), bytes_per_file=1000)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "arcs").glob("part-*")]
+    assert len(files) == 3 and sorted(len(list(warc.read_arc(f))) for f in files) == [4, 4, 4] and {f.split(b"\n")[1][:1] for f in files} == {b"1", b"2"}
+    warc.convert(spark, str(tmp_path / "arcs"), str(tmp_path / "warcs"), bytes_per_file=1000)
+    heads = [h for p in (tmp_path / "warcs").glob("part-*") for h, _ in warc.read_warc(gzip.decompress(p.read_bytes()))]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == 12 and all(ids[h["WARC-Refers-To"]]["X-Page-Id"] == "8" for h in heads if h["WARC-Type"] == "revisit")
+    assert sum(h["WARC-Type"] == "revisit" for h in heads) == 8
 
 
 # --- packing ------------------------------------------------------------------
