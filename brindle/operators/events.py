@@ -35,8 +35,12 @@ def parse(lines: DataFrame, text: str = "value", keys: Sequence[str] = ("run_id"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Events of log files, one a run: the run is the file's folder, ``ord`` the line's place."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    """Events of log files: the run is the files' folder, ``ord`` the line's place: file by name, block, line.
+
+    Sessions number the files that they flush, so later lines come later.
+    """
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("ord"))
     run = F.element_at(F.split("file", "/"), -2)
     return parse(lines.select("value", run.alias("run_id"), "ord"))
 
@@ -232,11 +236,20 @@ class Session:
         self.flush()
 
     def flush(self) -> None:
+        """Append the events as one more file, numbered after those that are there."""
         import json
 
         if self._lines:
-            rows = [(json.dumps(x),) for x in self._lines]
-            self.spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(self.path)
+            jvm = self.spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(self.path)
+            fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            there = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+            number = 1 + max((int(x[7:-6]) for x in there if x.startswith("events-") and x.endswith(".jsonl")), default=0)
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/events-{number:08}.jsonl"), False)
+            try:
+                out.write(bytearray("".join(json.dumps(x) + "\n" for x in self._lines).encode()))
+            finally:
+                out.close()
             self._lines = []
 
     def __enter__(self) -> Session:

@@ -1,7 +1,7 @@
 """Whole-table ordered operations that don't put the table into one task.
 
 A Spark window without PARTITION BY sends every row to one task. Here the
-table is cut into ranges of the first order column by approximate quantiles.
+table is cut into ranges of the order columns by sampled quantiles.
 A range is numbered and accumulated on its own, and what the ranges before it
 add up to (one row a range) is joined on. Offset and sliding frames need their
 neighbours: each range of ordinals lends its last rows to the next one.
@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 ROWS_A_RANGE = 2_000_000
 _RANGE, _ROW = "__range", "__row"
-_SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _keys(order_by: str | Sequence[str]) -> list[str]:
@@ -28,21 +27,33 @@ def _keys(order_by: str | Sequence[str]) -> list[str]:
 
 
 def with_ranges(df: DataFrame, order_by: Sequence[str], rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """``df`` with the number of each row's range of the first order column; one range if it isn't numeric or temporal."""
-    first = order_by[0]
-    cuts: list = []
-    if isinstance(df.schema[first].dataType, _SORTABLE):
-        n = df.count()
-        parts = -(-n // rows_a_range)
-        if parts > 1:
-            shares = [i / parts for i in range(1, parts)]
-            found = df.agg(F.percentile_approx(first, shares, 10_000)).first()[0]
-            cuts = sorted(set(found or []))
-    number = F.lit(0)
-    if cuts:
-        number = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(first)))
-        number = F.coalesce(number, F.lit(0))
-    return df.withColumn(_RANGE, number)
+    """``df`` with the number of each row's range of the order columns, all of them together.
+
+    The cuts are every 20th of a sorted sample of 20 keys a range, so a first
+    column of few values or of strings makes no large range. A row finds its
+    range among the cuts by binary search.
+    """
+    n = df.count()
+    parts = -(-n // rows_a_range)
+    if parts <= 1:
+        return df.withColumn(_RANGE, F.lit(0))
+    sample = df.select(*order_by).sample(min(1.0, 20.0 * parts / n), seed=7)
+    keys = sample.orderBy(*(F.col(c).asc_nulls_first() for c in order_by)).collect()  # about 20 keys a range
+    kinds = [df.schema[c].dataType for c in order_by]
+    step = max(1, len(keys) // parts)
+    cuts = [F.struct(*(F.lit(v).cast(k) for v, k in zip(row, kinds, strict=True))) for row in keys[step::step]]
+    if not cuts:
+        return df.withColumn(_RANGE, F.lit(0))
+    key = F.struct(*(F.col(c).cast(k) for c, k in zip(order_by, kinds, strict=True)))
+    table = F.array(*cuts)
+
+    def halve(at: Column, _: Column) -> Column:  # cuts before ``low`` are below the key, those from ``high`` on aren't
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        below = F.get(table, middle) < key
+        return F.struct(F.when((at["low"] < at["high"]) & below, middle + 1).otherwise(at["low"]).alias("low"), F.when((at["low"] < at["high"]) & ~below, middle).otherwise(at["high"]).alias("high"))
+
+    rounds = F.array_repeat(F.lit(0), len(cuts).bit_length())
+    return df.withColumn(_RANGE, F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve)["low"])
 
 
 def _local(order_by: Sequence[str]) -> Window:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import arrays, events, metrics, tables, text  # noqa: F401
+from . import arrays, events, metrics, relational, tables, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -71,14 +71,12 @@ def unigram_train(spark, d):
     return K.train_unigram(_ascii(spark, d), "t", 300).select("token", F.round("prob", 12).alias("prob"))
 
 
-@query("wordlevel_encode", f"WITH v AS (SELECT '[UNK]' AS token, 0 AS id UNION ALL {_TRAINED}), w AS (SELECT doc_id, unnest(p) AS word, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS p FROM {_T})) SELECT doc_id, count(*)::INT AS n, sum(coalesce(id, 0))::BIGINT AS s, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids FROM w LEFT JOIN v ON word = token GROUP BY 1")
+@query("wordlevel_encode", f"WITH v AS (SELECT '[UNK]' AS token, 0 AS id UNION ALL {_TRAINED}), d AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS p FROM {_T}), w AS (SELECT doc_id, unnest(p) AS word, unnest(range(0, len(p))) AS i FROM d), e AS (SELECT doc_id, count(*)::INT AS n, sum(coalesce(id, 0))::BIGINT AS s, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids FROM w LEFT JOIN v ON word = token GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(ids, '') AS ids FROM d LEFT JOIN e USING (doc_id)")
 def wordlevel_encode(spark, d):
-    """By a join with the vocabulary, as a vocabulary may be any size."""
+    """A trained vocabulary is small: each task looks words up in it, nothing is shuffled. A text without words is an empty list."""
     t = _ascii(spark, d)
-    vocab = K.train_wordlevel(t, "t", 500, specials=["[UNK]"])
-    w = t.select("doc_id", F.posexplode(X.whitespace_split("t")).alias("i", "token")).join(vocab, "token", "left")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("id", F.lit(0)).alias("id")))), lambda p: p["id"])
-    out = w.groupBy("doc_id").agg(ids.alias("ids"))
+    vocab = {r["token"]: r["id"] for r in K.train_wordlevel(t, "t", 500, specials=["[UNK]"]).collect()}  # 500 at most
+    out = K.lookup_ids(t.select("doc_id", X.whitespace_split("t").alias("w")), "w", vocab, 0, "ids")
     return out.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 

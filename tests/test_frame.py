@@ -133,3 +133,17 @@ def test_concat_describe_display(spark):
     assert (got["count"], got["mean"], got["50%"], got["max"]) == (4, 2.5, 2.5, 4.0)
     assert "<td>1</td>" in T.to_html(t) and "a" in T.to_string(t)
     assert rows(T.info(t)) == [("a", "int32", 0)]
+
+
+def test_ranges_are_cut_by_the_whole_key(spark):
+    """A first column of two values, strings and nulls: many ranges, one order."""
+    from brindle.operators import ordered
+
+    rows = [(i % 2, None if i % 11 == 0 else f"s{i * 7919 % 1000:03}", i) for i in range(1000)]
+    t = spark.createDataFrame(rows, "a int, b string, c int")
+    ranged = ordered.with_ranges(t, ["a", "b", "c"], 50)
+    sizes = [r["count"] for r in ranged.groupBy("__range").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 200
+    got = {r["c"]: r["at"] for r in ordered.with_row_index(t, ["a", "b", "c"], "at", 50).collect()}
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    assert got == {r[2]: i for i, r in enumerate(want)}

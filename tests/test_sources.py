@@ -93,3 +93,17 @@ def test_session_and_stream(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in got.collect()} == {("loss", 1.0), ("acc", 0.5)}
     seen = spark.createDataFrame([("a", 10.0, False), ("b", 10.0, True), ("c", 19.0, False)], "run_id string, seen double, ended boolean")
     assert {r[0]: r[1] for r in monitor.live_status(seen, 20.0).collect()} == {"a": "stopped", "b": "finished", "c": "running"}
+
+
+def test_log_lines_keep_their_order_over_flushes(spark, tmp_path):
+    from brindle.operators import events
+
+    run = events.Session(spark, str(tmp_path), "exp", "r1")
+    for step in range(4):
+        for k in range(30 if step == 1 else 1):
+            run.log_metric("loss", 10.0 * step + k / 100, step=step * 100 + k, timestamp=1.0)
+        run.set_notes(f"note {step}")
+        run.flush()
+    found = events.read(spark, f"{tmp_path}/exp/r1").orderBy("ord").collect()
+    steps = [r["step"] for r in found if r["type"] == "metric"]
+    assert steps == sorted(steps) and len(steps) == 33 and [r["note"] for r in found if r["type"] == "notes"][-1] == "note 3"
