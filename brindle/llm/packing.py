@@ -80,13 +80,17 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     return out
 
 
-def pack(docs: DataFrame, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, shard_pieces: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, clusters: DataFrame | None = None, shard_pieces: int = 4096) -> DataFrame:
     """One row per piece: id, piece, start (word), n_tokens, bin_id, position (in the bin), offset (words before it in the bin).
 
     ``cluster_col`` names the duplicate cluster; without it, equal texts but for
-    case and outer blanks are a cluster.
+    case and outer blanks are a cluster. ``clusters`` (id, cluster; one row an
+    id) names them by id instead; it is joined with lengths, not with texts.
     """
-    cut = materialize(pieces(docs, capacity, id_col, text_col, source_col, cluster_col), "pieces")
+    cut = pieces(docs, capacity, id_col, text_col, source_col, cluster_col)
+    if clusters is not None:
+        cut = cut.join(clusters.toDF("id", "known"), "id", "left").withColumn("cluster", F.coalesce(F.col("known").cast("string"), "cluster")).drop("known")
+    cut = materialize(cut, "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def run(table: pa.Table) -> pa.Table:

@@ -39,10 +39,8 @@ def op6_lexicon_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 def _pack_apart(docs: DataFrame) -> DataFrame:
     """Packed so that near copies share no bin: their clusters are the components of op9."""
-    near = near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").alias("__id"), "component_id").distinct()
-    joined = docs.join(near, F.col("doc_id") == F.col("__id"), "left")
-    text = F.xxhash64(F.lower(F.btrim(F.coalesce("text", F.lit("")))))  # rows without an id
-    return packing.pack(joined.withColumn("__cluster", F.coalesce("component_id", text)), cluster_col="__cluster")
+    near = near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id").distinct()
+    return packing.pack(docs, clusters=near)
 
 
 def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
