@@ -12,7 +12,9 @@ Words are runs of non-white characters, lower-cased; shingles are five words
 
 Rows: null or blank text holds nothing and an item without words matches
 nothing. Repeated rows of an id count once, with the highest containment.
-A null document id is reported as such. Only the named columns are read.
+A null document id is reported as such. ``drop_contaminated`` decides by id and
+text, so a clean row stays whatever shares its id, and a row without an id goes
+if it holds an item. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, is_small, materialize, only
+from .common import BROADCAST_ROWS, free, is_small, materialize
 
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -59,6 +61,13 @@ def sketches(shingles: DataFrame, percent: int) -> DataFrame:
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """(id, item, n_shared, n_item, containment) for each document that holds ``percent`` of an item's shingles."""
+    shared = _held(docs, items, id_col, text_col, item_col, item_text_col, shingle, percent)
+    best = shared.groupBy("doc", "item").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("c"), "n", "size")).alias("m"))
+    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("m.n").cast("long").alias("n_shared"), F.col("m.size").cast("long").alias("n_item"), F.col("m.c").alias("containment"))
+
+
+def _held(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(doc, text_key, item, size, n): the items that each text of an id holds, and how many of their shingles."""
     known = materialize(item_shingles(items, item_col, item_text_col, shingle).distinct(), "items")
     small = is_small(known, BROADCAST_ROWS)
     hint = F.broadcast if small else (lambda x: x)
@@ -76,9 +85,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     texts = rows.join(F.broadcast(found) if is_small(met) else found, F.col("doc").eqNullSafe(F.col("d")), "left_semi")
     shared = _keyed(texts, widths).join(hint(known), "h").groupBy("doc", "text_key", "item", "size").agg(F.count("*").alias("n")).where(F.col("n") * 100 >= F.col("size") * percent)
     other = met.select(F.col("doc").alias("d"), F.col("item").alias("i"))
-    shared = shared.join(hint(other) if is_small(met) else other, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")), "left_semi")
-    best = shared.groupBy("doc", "item").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("c"), "n", "size")).alias("m"))
-    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("m.n").cast("long").alias("n_shared"), F.col("m.size").cast("long").alias("n_item"), F.col("m.c").alias("containment"))
+    return shared.join(hint(other) if is_small(met) else other, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")), "left_semi")
 
 
 def _keyed(texts: DataFrame, widths: list[int]) -> DataFrame:
@@ -87,8 +94,10 @@ def _keyed(texts: DataFrame, widths: list[int]) -> DataFrame:
     return w.select("doc", "text_key", F.explode(F.concat(*parts)).alias("h"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    found = find_contamination(docs, items, id_col=id_col, **options)
-    gone = materialize(found.select(id_col).distinct(), "contaminated")
-    return only(docs, gone, id_col, "left_anti").select(*docs.columns)
+    gone = materialize(_held(docs, items, id_col, text_col, item_col, item_text_col, shingle, percent).select("doc", "text_key").distinct(), "contaminated")
+    name, key = free(docs, "__gone_id"), free(docs, "__gone_text")
+    side = gone.toDF(name, key)
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(key))
+    return docs.join(F.broadcast(side) if is_small(gone) else side, same, "left_anti")

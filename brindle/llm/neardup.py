@@ -21,8 +21,8 @@ with the defaults (32 coordinates, 12 matches); it falls above.
 
 Rows: null or blank text has no shingles and is linked with nothing. A null
 id is linked with nothing and keeps itself (component null). Repeated rows of
-one id are one node. Only the id and text columns are read, so other columns
-may have any name.
+one id are one node; ``keep_one`` keeps one row of each text of an id. Only the
+id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, is_small, materialize, mix, only, shingles, text_buffers, words
+from .common import chunks, components, free, is_small, materialize, mix, only, shingles, text_buffers, words
 
 BUCKETS = 1 << 18
 SIGNATURE = "id long, n_shingles long, set_a long, set_b long, sig array<int>"
@@ -363,8 +363,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, its columns as they were."""
-    name = "__near_id"
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = materialize(found.where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct(), "gone")
-    rest = only(docs.withColumn(name, F.col(id_col).cast("long")), gone, name, "left_anti").drop(name)
-    return rest
+    name, key = free(docs, "__near_id"), free(docs, "__near_text")
+    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias(name), "kept"), "kept")
+    gone = materialize(found.where(~F.col("kept")).select(name).distinct(), "gone")
+    rest = only(docs.withColumn(name, F.col(id_col).cast("long")), gone, name, "left_anti")
+    again = materialize(found.where("kept").where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").select(name), "again")
+    if not again.isEmpty():  # rows of one id: only these are shuffled with their texts
+        keyed = rest.withColumn(key, F.sha2(F.col(text_col).cast("string"), 256))
+        rest = only(rest, again, name, "left_anti").unionByName(only(keyed, again, name).dropDuplicates([name, key]).drop(key))
+    return rest.select(*docs.columns)

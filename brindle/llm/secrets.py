@@ -24,7 +24,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, materialize
+from .common import free, is_small, materialize
 
 
 @dataclass(frozen=True)
@@ -200,12 +200,22 @@ def digest(found: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...] = R
     )
 
 
+def _masked(text: Column, spans: Column, kind: str) -> Column:
+    """``text`` with each of its spans replaced by [KIND]."""
+
+    def add(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
+        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(f"[{kind.upper()}]")).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with each match of a rule in the text column replaced by [KIND]."""
-    text = F.col(text_col).cast("string")
+    """``docs`` with each match of a rule that is long enough replaced by [KIND] in the text column, a rule after the other."""
+    rows, spans, text = docs.withColumn(text_col, F.col(text_col).cast("string")), free(docs, "__spans"), F.col(text_col)
     for r in rules:
-        text = F.regexp_replace(text, r.pattern, f"[{r.kind.upper()}]")
-    return docs.withColumn(text_col, text)
+        rows = rows.withColumn(spans, _spans(r, 0, text)).withColumn(text_col, F.when(F.size(spans) > 0, _masked(text, F.col(spans), r.kind)).otherwise(text))
+    return rows.select(*docs.columns)
 
 
 def python_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:

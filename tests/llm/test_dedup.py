@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import embeddings, neardup, substring
+from brindle.llm import common, embeddings, neardup, substring
 from brindle.llm.common import components
 
 from .helpers import SCHEMA, classes, documents, shingles
@@ -49,6 +49,17 @@ def test_near_duplicates_edge_tables(spark):
     docs = documents(spark)
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() < docs.count()
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) == neardup.near_duplicates(docs).where("kept").select("doc_id").distinct().count()
+    two = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "u v w x y z", "en", "s", 2), (1, "a b c d e f", "en", "s", 3), (None, None, "en", "s", 4), (None, None, "en", "s", 4)], SCHEMA).withColumn("__near_id", F.lit(0))
+    assert sorted(r["n_chars"] for r in neardup.keep_one(two).collect())[1:] == [2, 4, 4] and neardup.keep_one(two).count() == 4
+
+
+def test_components_of_hubs(spark):
+    rows = [(7, 1000 + i) for i in range(12_000)] + [(1000 + 3 * i, 50_000 + i) for i in range(2_000)] + [(5, 50_000), (90_001, 90_000), (90_002, 90_001), (8, 8)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()))
+    nodes = {x for r in rows for x in r} - {8}
+    assert got == {n: 90_000 if n >= 90_000 else 5 for n in nodes}
 
 
 def cosines(x):

@@ -118,6 +118,26 @@ def test_contamination_agrees_with_brute_force(spark):
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0 and decontam.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_rows_go_by_id_and_text(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, f"so {item} ends", "en", "s", 1), (None, "clean words without an id here", "en", "s", 2), (7, item, "en", "s", 3), (7, "a clean text under the same id", "en", "s", 4), (8, None, "en", "s", 5)], SCHEMA)
+    docs = docs.withColumn("__gone_id", F.lit(1)).withColumn("__GONE_TEXT", F.lit("x"))
+    clean = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(r["n_chars"] for r in clean.collect()) == [2, 4, 5]
+
+
+def test_secrets_are_masked_by_the_rule(spark):
+    docs = docs_of(spark, SECRETS).withColumn("__spans", F.lit("clash"))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert secrets.redact(docs).columns == docs.columns and len(out) == len(SECRETS)
+    for i, t in enumerate(SECRETS):
+        want = t
+        for r in secrets.RULES:
+            want = want and re.sub(r.pattern, lambda m, r=r: f"[{r.kind.upper()}]" if len(m[r.group]) >= r.least else m[0], want)
+        assert out[i] == want, t
+    assert "secret:short" in out[0] and "hunter22" not in out[0]
+
+
 # --- toxicity -----------------------------------------------------------------
 
 
