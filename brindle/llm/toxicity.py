@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -39,8 +38,6 @@ from .common import materialize, shingles, text_buffers, words
 _GLYPHS = str.maketrans("авекмнорстухіјѕԁɡӏɑαβερικοντυχ", "abekmhopctyxijsdglaabepikovtux")
 #: Digits and signs that stand for letters within a word.
 _SIGNS = str.maketrans("01345789@$!|", "oieastbgasil")
-#: Combining marks and format characters: accents, zero-width spaces and joiners, soft hyphens.
-_UNSEEN = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Me", "Cf")) + "]+")
 _WORD = re.compile(r"[^\W_][\w@$!|*'-]*", re.UNICODE)
 #: Used where no labels are given: plain insults, each with its weight.
 SEED = {"idiot": 2.0, "moron": 2.0, "scum": 2.0, "stupid": 1.5, "worthless": 1.5, "pathetic": 1.5, "disgusting": 1.2, "loser": 1.5, "trash": 1.0, "clown": 1.0}
@@ -49,19 +46,38 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "pathetic fal
 STEMS = (4, 5, 6)
 
 
-def fold(text: str) -> str:
-    """Lower-case words joined by single spaces, disguises undone; a space at each end."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", unicodedata.normalize("NFKD", text)))
-    out = []
-    for w in _WORD.findall(text.lower().translate(_GLYPHS)):
+class _Characters(dict):
+    """What each character is folded to: lower case without accents, in Latin letters; nothing for a mark or a format character."""
+
+    def __missing__(self, code: int) -> str:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+        self[code] = folded = unicodedata.normalize("NFKC", plain).lower().translate(_GLYPHS)
+        return folded
+
+
+class _Words(dict):
+    """What each word is folded to, for the words met last."""
+
+    def __missing__(self, word: str) -> str:
+        w = word
         if not w.isalpha():
             if any(c.isalpha() for c in w):
                 w = w.rstrip("!|'-*").translate(_SIGNS)
             w = "".join(c for c in w if c.isalnum())
-        if w:
-            out.append(w)
-    return " " + " ".join(out) + " "
+        if len(word) <= 40:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = w
+        return w
+
+
+_CHARACTERS, _WORDS = _Characters(), _Words()
+
+
+def fold(text: str) -> str:
+    """Lower-case words joined by single spaces, disguises undone; a space at each end. Each character is folded by itself."""
+    text = text.lower() if text.isascii() else text.translate(_CHARACTERS)
+    return f" {' '.join(filter(None, map(_WORDS.__getitem__, _WORD.findall(text))))} "
 
 
 @dataclass
