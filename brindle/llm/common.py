@@ -216,22 +216,24 @@ def shingles(hashed: np.ndarray, first: np.ndarray, n: int = 5, short: bool = Tr
 # --- connected components -----------------------------------------------------
 
 
-def _with_least(edges: DataFrame, low: DataFrame, hub: int) -> DataFrame:
-    """(u, v, m): ``edges`` (u, v) with ``low`` (u, m, n) of their ``u``; nodes of over ``hub`` edges by broadcast."""
+def _with_least(edges: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
+    """(u, v, m): ``edges`` (u, v) with ``low`` (u, m, n) of their ``u``; nodes of over ``hub`` edges by broadcast, if there can be any."""
+    if hub is None:
+        return edges.join(low.drop("n"), "u")
     hubs = F.broadcast(low.where(F.col("n") > hub).select(F.col("u").alias("h"), F.col("m").alias("hm")))
     marked = edges.join(hubs, F.col("u") == F.col("h"), "left")
     cold = marked.where("h is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
     return marked.where("h is not null").select("u", "v", F.col("hm").alias("m")).unionByName(cold)
 
 
-def components(edges: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, most: int = 60, hub_edges: int = 1_000_000) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of an edge table.
 
     Alternating large-star and small-star contraction; each step is two
     grouped minima with map-side combine and joins on the node. Hubs are told
-    by their degree: at most 2,000 nodes have more than a thousandth of all
-    edges each, so these meet their edges by broadcast and no task gathers a
-    hub. Self-edges are ignored.
+    by their degree: at most 2,000 nodes have over ``hub_edges`` and a
+    thousandth of all edges each, so these meet their edges by broadcast and no
+    task gathers more. Self-edges are ignored.
     """
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     seen = None
@@ -240,12 +242,12 @@ def components(edges: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
         if seen == tuple(now):
             break
         seen = tuple(now)
-        hub = max(10_000, now[0] // 1000)  # at most 2 * edges / hub nodes have more
+        hub = max(hub_edges, now[0] // 1000)  # at most 2 * edges / hub nodes have more
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, low, hub).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, low, hub if now[0] > hub else None).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = _with_least(large, low, hub)
+        joined = _with_least(large, low, hub if now[0] > hub else None)
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u > v").distinct(), "edges")
     else:

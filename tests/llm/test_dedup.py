@@ -57,7 +57,7 @@ def test_near_duplicates_edge_tables(spark):
 
 def test_components_of_hubs(spark):
     rows = [(7, 1000 + i) for i in range(12_000)] + [(1000 + 3 * i, 50_000 + i) for i in range(2_000)] + [(5, 50_000), (90_001, 90_000), (90_002, 90_001), (8, 8)]
-    got = dict(map(tuple, common.components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()))
+    got = dict(map(tuple, common.components(spark.createDataFrame(rows, "a long, b long"), "a", "b", hub_edges=1000).collect()))
     nodes = {x for r in rows for x in r} - {8}
     assert got == {n: 90_000 if n >= 90_000 else 5 for n in nodes}
 
