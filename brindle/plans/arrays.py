@@ -164,14 +164,6 @@ def nonzero_compress(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.nonzero(F.transform(mask, lambda m: m.cast("int"))).alias("at"), V.compress("embedding", mask).alias("v"))
 
 
-_COO = "(SELECT vec_id AS i, unnest(range(0, 8)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings WHERE vec_id < 8)"
-
-
-def _cells(spark, d):
-    t = table(spark, d, "embeddings").where("vec_id < 8").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("e"))
-    return coo.from_vectors(t, "vec_id", "e").withColumn("j", F.col("j").cast("long"))
-
-
 @query("reduce_axes", "SELECT j::INT AS j, round(sum(v), 4) AS s, round(avg(v), 6) AS m, round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(var_pop(v), 6) AS va FROM (SELECT unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
 def reduce_axes(spark, d):
     t = coo.from_vectors(_vec(spark, d), "vec_id", "e")
@@ -179,49 +171,6 @@ def reduce_axes(spark, d):
     return out
 
 
-@query("matmul", f"WITH a AS {_COO} SELECT x.i, y.j AS k, round(sum(x.v * y.v), 6) AS v FROM a x JOIN a y ON x.j = y.i GROUP BY ALL")
-def matmul(spark, d):
-    a = _cells(spark, d)
-    return coo.matmul(a, a).withColumn("v", F.round("v", 6))
-
-
-@query("einsum_trace_of_product", f"WITH a AS {_COO} SELECT round(sum(x.v * y.v), 6) AS v FROM a x JOIN a y ON x.j = y.i AND x.i = y.j")
-def einsum_trace_of_product(spark, d):
-    a = _cells(spark, d)
-    return coo.einsum("ij,ji->", a, a).withColumn("v", F.round("v", 6))
-
-
-@query("einsum_chain", f"WITH a AS {_COO} SELECT x.i AS a, z.j AS d, round(sum(x.v * y.v * z.v), 5) AS v FROM a x JOIN a y ON x.j = y.i JOIN a z ON y.j = z.i GROUP BY ALL")
-def einsum_chain(spark, d):
-    a = _cells(spark, d)
-    return coo.einsum("ab,bc,cd->ad", a, a, a).withColumn("v", F.round("v", 5))
-
-
-@query("trace_diagonal", f"WITH a AS {_COO} SELECT round(sum(v) FILTER (i = j), 6) AS tr, round(sum(v) FILTER (j - i <= -1), 5) AS lower, round(sum(v) FILTER (j - i >= 1), 5) AS upper, round(sum(v) FILTER (i + 1 = j), 6) AS off FROM a")
-def trace_diagonal(spark, d):
-    a = _cells(spark, d)
-    one = lambda t, n, k: t.agg(F.round(F.sum("v"), k).alias(n))
-    return one(coo.trace(a), "tr", 6).crossJoin(one(coo.tril(a, -1), "lower", 5)).crossJoin(one(coo.triu(a, 1), "upper", 5)).crossJoin(one(coo.diagonal(a, 1), "off", 6))
-
-
-@query("outer_product", f"WITH a AS (SELECT i, v FROM {_COO} WHERE j = 0) SELECT x.i, y.i AS j, round(x.v * y.v, 8) AS v FROM a x, a y")
-def outer_product(spark, d):
-    v = _cells(spark, d).where("j = 0").select("i", "v")
-    return coo.outer(v, v).withColumn("v", F.round("v", 8))
-
-
-@query("tensor_reshape_roll", f"WITH a AS {_COO} SELECT ((i * 8 + j) // 4)::BIGINT AS i, (((i * 8 + j) % 4 + 1) % 4)::BIGINT AS j, v FROM a")
-def tensor_reshape_roll(spark, d):
-    return coo.roll(coo.reshape(_cells(spark, d), 8, 4), "j", 1, 4)
-
-
-@query("matrix_norms", f"WITH a AS {_COO} SELECT round(sqrt(sum(v * v)), 6) AS fro, (SELECT round(max(s), 6) FROM (SELECT sum(abs(v)) AS s FROM a GROUP BY j)) AS one, (SELECT round(max(s), 6) FROM (SELECT sum(abs(v)) AS s FROM a GROUP BY i)) AS inf FROM a")
-def matrix_norms(spark, d):
-    a = _cells(spark, d)
-    parts = [coo.norm(a, k).select(F.round("v", 6).alias(n)) for k, n in (("fro", "fro"), ("1", "one"), ("inf", "inf"))]
-    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])
-
-
 @query("meshgrid", "SELECT a.r_regionkey AS x, b.r_regionkey AS y FROM region a, region b")
 def meshgrid(spark, d):
     r = table(spark, d, "region")
@@ -281,7 +230,7 @@ def adam_step(spark, d):
     return optim.adam(t, 0.1, 1).select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"))
 
 
-# Long-form queries over whole tables: the SQL of those above names a few cells and stays as it is.
+# Long-form queries over all components of all vectors.
 
 _TALL = "(SELECT vec_id AS i, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 #: The Gram matrix of the vectors' components, square.

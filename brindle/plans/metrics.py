@@ -106,9 +106,17 @@ def returns(spark, d):
     return Q.returns(_steps(spark, d), ["user_id"], "event_id", gamma=1 / 3, name="ret").select("event_id", F.round("ret", 6).alias("ret"))
 
 
-@query("gae")
+@query(
+    "gae",
+    """WITH e AS (SELECT user_id, event_id, value::DOUBLE AS r, event_type = 'purchase' AS done, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg,
+            coalesce(lead(value::DOUBLE / 2) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS after FROM events),
+       n AS (SELECT *, row_number() OVER (PARTITION BY user_id, seg ORDER BY event_id) AS k, r + CASE WHEN done THEN 0 ELSE (2.0::DOUBLE / 3) * after END - r / 2 AS delta FROM e),
+       g AS (SELECT event_id, r, (SELECT sum(b.delta * pow((2.0::DOUBLE / 3) * (6.0::DOUBLE / 7), b.k - a.k)) FROM n b WHERE b.user_id = a.user_id AND b.seg = a.seg AND b.k >= a.k) AS adv FROM n a)
+       SELECT event_id, round(adv, 6) AS advantage, round(adv + r / 2, 6) AS "return" FROM g""",
+)
 def gae(spark, d):
-    return Q.gae(_steps(spark, d), ["user_id"], "event_id").select("event_id", "advantage", "return")
+    """Factors that don't end in decimals, so that no value lies on a rounding boundary."""
+    return Q.gae(_steps(spark, d), ["user_id"], "event_id", gamma=2 / 3, lam=6 / 7).select("event_id", F.round("advantage", 6).alias("advantage"), F.round("return", 6).alias("return"))
 
 
 @query("advantage_normalize", "SELECT event_id, round((value - (SELECT avg(value) FROM events)) / ((SELECT stddev_pop(value) FROM events) + 1e-8), 6) AS z FROM events")
@@ -133,10 +141,17 @@ def rhat(spark, d):
     return Q.rhat(t, ["param"], "chain", "event_id", "value").select(F.round("rhat", 8).alias("rhat"))
 
 
-@query("ess")
+@query(
+    "ess",
+    """WITH c AS (SELECT user_id % 4 AS chain, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS i, value::DOUBLE - avg(value::DOUBLE) OVER (PARTITION BY user_id % 4) AS x, count(*) OVER (PARTITION BY user_id % 4) AS n FROM events),
+       l AS (SELECT a.chain, b.i - a.i AS k, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.chain = b.chain AND b.i >= a.i GROUP BY 1, 2),
+       p AS (SELECT o.chain, o.n, o.k, (o.s + e.s) / z.s AS pair FROM l o JOIN l e ON e.chain = o.chain AND e.k = o.k + 1 JOIN l z ON z.chain = o.chain AND z.k = 0 WHERE o.k % 2 = 1 AND o.k < o.n - 1),
+       f AS (SELECT *, min(CASE WHEN pair < 0 THEN k END) OVER (PARTITION BY chain) AS stop FROM p)
+       SELECT chain, round(any_value(n) / greatest(1 + 2 * coalesce(sum(pair) FILTER (stop IS NULL OR k < stop), 0), 1e-12), 4) AS ess FROM f GROUP BY 1""",
+)
 def ess(spark, d):
     t = table(spark, d, "events").select((F.col("user_id") % 4).alias("chain"), "event_id", F.col("value").cast("double").alias("value"))
-    return Q.ess(t, ["chain"], "event_id", "value")
+    return Q.ess(t, ["chain"], "event_id", "value").withColumn("ess", F.round("ess", 4))
 
 
 @query("replay_buffer", "SELECT 100::BIGINT AS n, min(event_id) AS oldest FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 100)")
@@ -145,33 +160,6 @@ def replay_buffer(spark, d):
     return b.frame.agg(F.count("*").alias("n"), F.min("event_id").alias("oldest"))
 
 
-#: An image a label: its first eight vectors' first eight numbers.
-def _image(spark, d):
-    t = table(spark, d, "embeddings").where("vec_id < 64").select((F.col("vec_id") / 8).cast("int").alias("image"), (F.col("vec_id") % 8).cast("int").alias("y"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 8)).alias("x", "v"))
-    return t
-
-
-_IMG = "(SELECT (vec_id // 8)::INT AS image, (vec_id % 8)::INT AS y, unnest(range(0, 8))::INT AS x, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings WHERE vec_id < 64)"
-
-
-@query("image_box_blur", f"WITH p AS {_IMG} SELECT a.image, a.y, a.x, round(sum(b.v) / 9, 6) AS v FROM p a JOIN p b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL")
-def image_box_blur(spark, d):
-    return images.box_blur(_image(spark, d), 3).withColumn("v", F.round("v", 6))
-
-
-@query("image_morphology", f"WITH p AS {_IMG} SELECT a.image, a.y, a.x, round(max(b.v) - min(b.v), 6) AS v FROM p a JOIN p b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL")
-def image_morphology(spark, d):
-    return images.morphological_gradient(_image(spark, d), images.structuring_element("rect", 3)).withColumn("v", F.round("v", 6))
-
-
-@query("image_flip_crop", f"WITH p AS {_IMG} SELECT image, y - 2 AS y, (7 - x) - 1 AS x, v FROM p WHERE y BETWEEN 2 AND 5 AND 7 - x BETWEEN 1 AND 6")
-def image_flip_crop(spark, d):
-    return images.crop(images.hflip(_image(spark, d), 8), 2, 1, 4, 6).select("image", "y", "x", "v")
-
-
-# The same over all vectors: the SQL of the queries above names the first 64 and stays as it is.
-
-
 def _images(spark, d):
     """Eight vectors an image, their numbers in rows of it."""
     t = table(spark, d, "embeddings").select((F.col("vec_id") / 8).cast("int").alias("image"), (F.col("vec_id") % 8).cast("int").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("x", "v"))

@@ -31,10 +31,10 @@ def range_join(spark, d):
     return R.range_join(table(spark, d, "events").select("event_id", "value"), bands, "value", "low", "high", 20.0).select("event_id", "low")
 
 
-@query("as_of_join", "SELECT a.event_id, b.value AS value FROM events a ASOF LEFT JOIN (SELECT user_id, event_id, value FROM events WHERE event_id % 5 = 0) b ON a.user_id = b.user_id AND a.event_id >= b.event_id")
+@query("as_of_join", "SELECT a.event_id, b.value AS value FROM events a ASOF LEFT JOIN (SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.event_id >= b.event_id")
 def as_of_join(spark, d):
     t = table(spark, d, "events")
-    return R.as_of_join(t.select("event_id", "user_id"), t.where("event_id % 5 = 0").select("user_id", F.col("event_id").alias("seen"), "value"), ["user_id"], "event_id", "seen", ["value"]).select("event_id", "value")
+    return R.as_of_join(t.select("event_id", "user_id"), t.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("seen"), "value"), ["user_id"], "event_id", "seen", ["value"]).select("event_id", "value")
 
 
 _RANKED = "OVER (PARTITION BY o_orderstatus ORDER BY o_custkey)"
@@ -62,29 +62,29 @@ def cube(spark, d):
     return R.cube(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], n=F.count("*"))
 
 
-_ODD, _EVEN = "SELECT o_custkey % 50 AS k FROM orders WHERE o_orderkey % 2 = 1", "SELECT o_custkey % 70 AS k FROM orders WHERE o_orderkey % 2 = 0"
+_FILLED, _OPEN = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'"
 
 
 def _keys(spark, d):
     t = table(spark, d, "orders")
-    return t.where("o_orderkey % 2 = 1").select((F.col("o_custkey") % 50).alias("k")), t.where("o_orderkey % 2 = 0").select((F.col("o_custkey") % 70).alias("k"))
+    return t.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), t.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"))
 
 
-@query("intersect_distinct", f"{_ODD} INTERSECT {_EVEN}")
+@query("intersect_distinct", f"{_FILLED} INTERSECT {_OPEN}")
 def intersect_distinct(spark, d):
     return R.intersect(*_keys(spark, d))
 
 
-@query("intersect_all", f"SELECT k, count(*) AS n FROM ({_ODD} INTERSECT ALL {_EVEN}) GROUP BY k")
+@query("intersect_all", f"SELECT k, count(*) AS n FROM ({_FILLED} INTERSECT ALL {_OPEN}) GROUP BY k")
 def intersect_all(spark, d):
     return R.intersect(*_keys(spark, d), every=True).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("except_distinct", f"{_EVEN} EXCEPT {_ODD}")
+@query("except_distinct", f"{_OPEN} EXCEPT {_FILLED}")
 def except_distinct(spark, d):
     return R.except_(*_keys(spark, d)[::-1])
 
 
-@query("except_all", f"SELECT k, count(*) AS n FROM ({_EVEN} EXCEPT ALL {_ODD}) GROUP BY k")
+@query("except_all", f"SELECT k, count(*) AS n FROM ({_OPEN} EXCEPT ALL {_FILLED}) GROUP BY k")
 def except_all(spark, d):
     return R.except_(*_keys(spark, d)[::-1], every=True).groupBy("k").agg(F.count("*").alias("n"))

@@ -171,13 +171,6 @@ def concat_columns(spark, d):
 
 
 def _join(name: str, how: str, sql: str) -> None:
-    @query(f"join_{name}", f"SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey, o_totalprice FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {sql} (SELECT * FROM orders WHERE o_custkey % 3 = 0) ON c_custkey = o_custkey")
-    def f(spark, d):
-        c = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-        o = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_custkey", "o_orderkey", "o_totalprice")
-        return T.join(c, o, "c_custkey", "o_custkey", how)
-
-    # Over whole tables: the SQL above keeps its filters.
     @query(f"join_{name}_whole", f"SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey, o_totalprice FROM customer {sql} orders ON c_custkey = o_custkey")
     def g(spark, d):
         c = table(spark, d, "customer").select("c_custkey", "c_name")

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["filter_high_value", "join_outer", "pivot_count", "describe", "diff_pct_shift", "vector_sort", "einsum_chain", "auc_roc", "text_bert", "event_summary"]
+NAMES = ["filter_high_value", "intersect_all", "except_all", "as_of_join", "gae", "ess", "pivot_count", "describe", "diff_pct_shift", "vector_sort", "auc_roc", "text_bert", "event_summary"]
 
 
 def plain(v):
