@@ -256,3 +256,14 @@ def test_alignment_finds_every_place_on_either_side():
             runs = [i for i in range(69) if any((x[i : i + 12] == y[k : k + 12]).all() for k in range(69))]
             assert runs and all(any(r[side] <= i and i + 12 <= r[side + 1] for r in got) for i in runs)
     assert substring.exact_runs(p, many, 12, np.zeros(20, bool)) == [(0, 20, 7, 27)]
+
+
+def test_passages_of_a_class_are_named_by_its_first_one_for_any_id(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    ids = [-(2**63), -7, 0, 5, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"{' '.join(f'w{k}_{j}' for j in range(k * 9))} {passage} end{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in substring.repeated_passages(docs).collect()}
+    assert sorted(found) == ids
+    assert {(r["class_id"], r["class_start"]) for r in found.values()} == {(ids[0], 0)}
+    assert [i for i in ids if found[i]["kept"]] == ids[:1]
+    assert [found[i]["start_word"] for i in ids] == [9 * k for k in range(len(ids))]
