@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scalar
+
 NAN = float("nan")
 
 
@@ -328,6 +330,23 @@ def scatter(indices, values, size: int, mode: str = "set", start=0.0) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell)
 
 
+def broadcast_to(a, rows: int) -> Column:
+    """``rows`` times the array: a matrix of equal rows."""
+    return F.array_repeat(_c(a), rows)
+
+
+def array_equal(a, b) -> Column:
+    """Whether sizes and all values are equal (NaN equals nothing); null for a null array."""
+    same = F.zip_with(_c(a), _c(b), lambda x, y: F.coalesce((x == y) & ~F.isnan(x.cast("double")), F.lit(False)))
+    return (F.size(_c(a)) == F.size(_c(b))) & F.forall(same, lambda s: s)
+
+
+def categorical(logits, key, seed: int) -> Column:
+    """A position drawn with probability softmax(logits), by the largest of logits plus Gumbel noise that the key fixes."""
+    noisy = F.transform(_d(logits), lambda x, i: x - F.ln(-F.ln(scalar.uniform(F.xxhash64(_c(key), i), seed) + 2.0**-54)))
+    return argmax(noisy)
+
+
 def compress(a, mask) -> Column:
     kept = F.filter(F.arrays_zip(_c(a).alias("x"), _c(mask).alias("m")), lambda p: p["m"])
     return F.transform(kept, lambda p: p["x"])

@@ -197,3 +197,36 @@ def norm(t: DataFrame, order: str = "fro") -> DataFrame:
         return t.agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("v"))
     sums = t.groupBy("j" if order == "1" else "i").agg(F.sum(F.abs("v")).alias("v"))
     return sums.agg(F.max("v").alias("v"))
+
+
+# --- along an axis --------------------------------------------------------------
+
+
+def _axes(t: DataFrame) -> list[str]:
+    return [c for c in t.columns if c != "v"]
+
+
+def take_along_axis(t: DataFrame, indices: DataFrame, axis: str) -> DataFrame:
+    """For each cell of ``indices`` (the axes of ``t``; v is a position on ``axis``), the value of ``t`` there; positions without a value give no cell."""
+    rest = [c for c in _axes(t) if c != axis]
+    wanted = indices.withColumnRenamed("v", "__at")
+    return wanted.join(t.withColumnRenamed(axis, "__at"), [*rest, "__at"]).select(*_axes(t), "v")
+
+
+def put_along_axis(t: DataFrame, indices: DataFrame, values: DataFrame, axis: str) -> DataFrame:
+    """``t`` with the cells of ``values`` written at the positions on ``axis`` that ``indices`` holds; of repeated positions the last on ``axis`` counts."""
+    axes = _axes(t)
+    rest = [c for c in axes if c != axis]
+    cells = indices.withColumnRenamed("v", "__at").join(values, axes)
+    new = cells.groupBy(*rest, "__at").agg(F.max_by("v", axis).alias("__new")).withColumnRenamed("__at", axis)
+    joined = t.join(new.withColumn("__is", F.lit(True)), axes, "full")
+    return joined.select(*axes, F.when(F.col("__is"), F.col("__new")).otherwise(F.col("v")).alias("v"))
+
+
+def array_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, ``equal``: whether both hold the same cells with the same values (NaN equals nothing, null only null)."""
+    axes = _axes(a)
+    both = a.withColumn("__a", F.lit(1)).join(b.withColumnRenamed("v", "w").withColumn("__b", F.lit(1)), axes, "full")
+    number = (F.col("v") == F.col("w")) & ~F.isnan(F.col("v").cast("double"))
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.coalesce(number, F.col("v").isNull() & F.col("w").isNull())
+    return both.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("equal"))

@@ -112,6 +112,46 @@ ifft = _udf(COMPLEX, lambda x: _pairs(np.fft.ifft(_complex(x))))
 irfft = _udf(VECTOR, lambda x: np.fft.irfft(_complex(x)).tolist())
 hfft = _udf(VECTOR, lambda x: np.fft.hfft(_complex(x)).tolist())
 ihfft = _udf(COMPLEX, lambda x: _pairs(np.fft.ihfft(np.asarray(x, float))))
+COMPLEX_MATRIX = f"array<{COMPLEX}>"
+
+
+def _complex_rows(z: np.ndarray) -> list:
+    return [_pairs(r) for r in np.atleast_2d(z)]
+
+
+def _complex_matrix(x) -> np.ndarray:
+    return np.array([_complex(r) for r in x])
+
+
+fft2 = _udf(COMPLEX_MATRIX, lambda x: _complex_rows(np.fft.fft2(_matrix(x))))
+ifft2 = _udf(COMPLEX_MATRIX, lambda x: _complex_rows(np.fft.ifft2(_complex_matrix(x))))
+rfft2 = _udf(COMPLEX_MATRIX, lambda x: _complex_rows(np.fft.rfft2(_matrix(x))))
+
+
+def irfft2(x, cols: int | None = None) -> Column:
+    """``cols``: the columns of the result, twice those of ``x`` less two if not given."""
+    return _udf(MATRIX, lambda m: _rows(np.fft.irfft2(z := _complex_matrix(m), s=(len(z), cols or 2 * (z.shape[1] - 1)))))(x)
+
+
+def fftn(x, shape: Sequence[int]) -> Column:
+    """Of a tensor of ``shape`` as a flat array, last axis fastest; the result is flat too."""
+    return _udf(COMPLEX, lambda v: _pairs(np.fft.fftn(np.asarray(v, float).reshape(shape)).ravel()))(x)
+
+
+def ifftn(x, shape: Sequence[int]) -> Column:
+    return _udf(COMPLEX, lambda v: _pairs(np.fft.ifftn(_complex(v).reshape(shape)).ravel()))(x)
+
+
+def rfftn(x, shape: Sequence[int]) -> Column:
+    return _udf(COMPLEX, lambda v: _pairs(np.fft.rfftn(np.asarray(v, float).reshape(shape)).ravel()))(x)
+
+
+def irfftn(x, shape: Sequence[int]) -> Column:
+    """``shape`` is that of the result."""
+    half = (*shape[:-1], shape[-1] // 2 + 1)
+    return _udf(VECTOR, lambda v: np.fft.irfftn(_complex(v).reshape(half), s=tuple(shape), axes=tuple(range(len(shape)))).ravel().tolist())(x)
+
+
 fft2_abs = _udf(MATRIX, lambda x: _rows(np.abs(np.fft.fft2(_matrix(x)))))
 
 
@@ -151,6 +191,24 @@ def _transform(matrix, inverse: bool):
     return make
 
 
+def _transform_nd(matrix, inverse: bool):
+    def make(x, shape: Sequence[int], kind: int = 2) -> Column:
+        """Along every axis of a tensor of ``shape``, as a flat array."""
+
+        def f(v):
+            out = np.asarray(v, float).reshape(shape)
+            for axis, n in enumerate(shape):
+                m = matrix(n, kind)
+                out = np.moveaxis(np.tensordot(np.linalg.inv(m) if inverse else m, out, (1, axis)), 0, axis)
+            return out.ravel().tolist()
+
+        return _udf(VECTOR, f)(x)
+
+    return make
+
+
+dctn, idctn = _transform_nd(_cosine, False), _transform_nd(_cosine, True)
+dstn, idstn = _transform_nd(_sine, False), _transform_nd(_sine, True)
 dct, idct = _transform(_cosine, False), _transform(_cosine, True)
 dst, idst = _transform(_sine, False), _transform(_sine, True)
 

@@ -8,7 +8,8 @@ over all parameters are one aggregate.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,3 +192,111 @@ def traced(updates: str | Column, decay: float) -> Column:
     """v = decay * v + u along an array of updates: the values after each step."""
     none = F.array().cast("array<double>")
     return F.aggregate(_c(updates).cast("array<double>"), none, lambda out, u: F.array_append(out, F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0.0)) * decay + u))
+
+
+# --- chains: transforms of the update column u, which starts as the gradient ----
+
+#: From a frame with p, u and state columns, and the number of the step (from 1), to the same columns.
+Transform = Callable[[DataFrame, int], DataFrame]
+Rate = float | Callable[[int], Column]
+
+
+def _rate(rate: Rate, step: int) -> Column:
+    return _c(rate(step) if callable(rate) else float(rate))
+
+
+def chain(*transforms: Transform) -> Transform:
+    """One transform after the other, each on the updates of the one before."""
+    return lambda df, step: reduce(lambda d, f: f(d, step), transforms, df)
+
+
+def apply_updates(df: DataFrame, transform: Transform, step: int) -> DataFrame:
+    """``df`` (p, g and the state) after a step: p moves by the transformed gradient."""
+    out = transform(df.withColumn("u", F.col("g").cast("double")), step)
+    return out.withColumn("p", F.col("p") + F.col("u")).drop("u")
+
+
+def scale(factor: Rate) -> Transform:
+    return lambda df, step: df.withColumn("u", F.col("u") * _rate(factor, step))
+
+
+def scale_by_learning_rate(rate: Rate) -> Transform:
+    """Times minus the rate, so that applied updates descend."""
+    return lambda df, step: df.withColumn("u", -_rate(rate, step) * F.col("u"))
+
+
+def add_decayed_weights(rate: Rate = 0.01) -> Transform:
+    return lambda df, step: df.withColumn("u", F.col("u") + _rate(rate, step) * F.col("p"))
+
+
+def clip_updates(limit: float) -> Transform:
+    return lambda df, step: df.withColumn("u", clip_by_value("u", limit))
+
+
+def trace(decay: float = 0.9, nesterov: bool = False, state: str = "t") -> Transform:
+    """State: t, the decayed sum of updates."""
+
+    def run(df: DataFrame, step: int) -> DataFrame:
+        t = decay * F.col(state) + F.col("u")
+        return df.withColumns({state: t, "u": F.col("u") + decay * t if nesterov else t})
+
+    return run
+
+
+def scale_by_adam(b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> Transform:
+    """State: m, v."""
+
+    def run(df: DataFrame, step: int) -> DataFrame:
+        m = b1 * F.col("m") + (1 - b1) * F.col("u")
+        v = b2 * F.col("v") + (1 - b2) * F.col("u") * F.col("u")
+        return df.withColumns({"m": m, "v": v, "u": (m / (1 - b1**step)) / (F.sqrt(v / (1 - b2**step)) + eps)})
+
+    return run
+
+
+def scale_by_adan(b1: float = 0.98, b2: float = 0.92, b3: float = 0.99, eps: float = 1e-8) -> Transform:
+    """State: m, d (moments of gradients and of their differences), n (second moment), prev (the gradient before)."""
+
+    def run(df: DataFrame, step: int) -> DataFrame:
+        change = F.col("u") - F.col("prev")
+        ahead = F.col("u") + b2 * change
+        m = b1 * F.col("m") + (1 - b1) * F.col("u")
+        d = b2 * F.col("d") + (1 - b2) * change
+        n = b3 * F.col("n") + (1 - b3) * ahead * ahead
+        return df.withColumns({"m": m, "d": d, "n": n, "prev": F.col("u"), "u": (m + b2 * d) / (F.sqrt(n) + eps)})
+
+    return run
+
+
+def scale_by_trust_ratio(by: Sequence[str] = (), eps: float = 1e-6) -> Transform:
+    """``by`` tells a tensor's rows."""
+    return lambda df, step: trust_ratio(df, "u", eps, by)
+
+
+def apply_if_finite(inner: Transform, state: Sequence[str], by: Sequence[str] = ()) -> Transform:
+    """A step with a NaN or an infinity among a tensor's updates leaves its p and state alone; state ``bad`` counts such steps in a row.
+
+    ``state`` names the state columns of ``inner``. Null updates don't count.
+    """
+
+    def run(df: DataFrame, step: int) -> DataFrame:
+        out = inner(df.withColumns({f"__old_{s}": F.col(s) for s in state}), step)
+        fine = out.groupBy(*by).agg(F.coalesce(all_finite("u"), F.lit(True)).alias("__fine"))
+        joined = out.join(fine, list(by)) if by else out.crossJoin(F.broadcast(fine))  # one row
+        back = {s: F.when(F.col("__fine"), F.col(s)).otherwise(F.col(f"__old_{s}")) for s in state}
+        moved = {"u": F.when(F.col("__fine"), F.col("u")).otherwise(0.0), "bad": F.when(F.col("__fine"), 0).otherwise(F.col("bad") + 1)}
+        return joined.withColumns(back | moved).drop("__fine", *(f"__old_{s}" for s in state))
+
+    return run
+
+
+def lamb(rate: Rate, by: Sequence[str] = (), decay: float = 0.01, **options) -> Transform:
+    return chain(scale_by_adam(**options), add_decayed_weights(decay), scale_by_trust_ratio(by), scale_by_learning_rate(rate))
+
+
+def lars(rate: Rate, by: Sequence[str] = (), momentum: float = 0.9, decay: float = 0.01, nesterov: bool = False) -> Transform:
+    return chain(trace(momentum, nesterov), add_decayed_weights(decay), scale_by_trust_ratio(by), scale_by_learning_rate(rate))
+
+
+def adan(rate: Rate, decay: float = 0.02, **options) -> Transform:
+    return chain(scale_by_adan(**options), add_decayed_weights(decay), scale_by_learning_rate(rate))

@@ -289,3 +289,49 @@ def matrix_norms_whole(spark, d):
     a = _tall(spark, d)
     parts = [coo.norm(a, k).select(F.round("v", 4).alias(n)) for k, n in (("fro", "fro"), ("1", "one"), ("inf", "inf"))]
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])
+
+
+@query("take_along_axis", f"SELECT i, max(v) AS v FROM {_TALL} GROUP BY i")
+def take_along_axis(spark, d):
+    """The values at the positions of the largest ones."""
+    a = _tall(spark, d)
+    at = coo.arg_extreme(a, ["i"], "j").select("i", F.lit(0).cast("long").alias("j"), F.col("j").alias("v"))
+    return coo.take_along_axis(a, at, "j").select("i", "v")
+
+
+@query("put_along_axis", f"SELECT i, j, CASE WHEN j = min(j) FILTER (v = m) OVER (PARTITION BY i) THEN 0 ELSE v END AS v FROM (SELECT *, max(v) OVER (PARTITION BY i) AS m FROM {_TALL})")
+def put_along_axis(spark, d):
+    """The first of the largest values of each vector becomes 0."""
+    a = _tall(spark, d)
+    at = coo.arg_extreme(a, ["i"], "j").select("i", F.lit(0).cast("long").alias("j"), F.col("j").alias("v"))
+    return coo.put_along_axis(a, at, at.withColumn("v", F.lit(0.0)), "j")
+
+
+_STEP = "(SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity::DOUBLE AS p, l_discount::DOUBLE AS g FROM lineitem)"
+
+
+def _parameters(spark, d, *state):
+    t = table(spark, d, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("p"), F.col("l_discount").cast("double").alias("g"), *(F.lit(0.0).alias(s) for s in state))
+
+
+@query(
+    "lamb_step",
+    f"""WITH u AS (SELECT *, g / (abs(g) + 1e-8) + 0.01 * p AS u FROM {_STEP}), n AS (SELECT l_returnflag, sqrt(sum(p * p)) AS a, sqrt(sum(u * u)) AS b FROM u GROUP BY 1)
+       SELECT l_orderkey, l_linenumber, round(p - 0.1 * u * a / (b + 1e-6), 4) AS p FROM u JOIN n USING (l_returnflag)""",
+)
+def lamb_step(spark, d):
+    t = optim.apply_updates(_parameters(spark, d, "m", "v"), optim.lamb(0.1, by=["l_returnflag"]), 1)
+    return t.select("l_orderkey", "l_linenumber", F.round("p", 4).alias("p"))
+
+
+@query("adan_step", f"SELECT l_orderkey, l_linenumber, round(p - 0.1 * ((0.02 + 0.92 * 0.08) * g / (0.1 * 1.92 * abs(g) + 1e-8) + 0.02 * p), 6) AS p FROM {_STEP}")
+def adan_step(spark, d):
+    t = optim.apply_updates(_parameters(spark, d, "m", "d", "n", "prev"), optim.adan(0.1), 1)
+    return t.select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"))
+
+
+@query("momentum_chain", f"SELECT l_orderkey, l_linenumber, round(p - 0.1 * (least(greatest(g, -0.05), 0.05) * 1.9 + 0.01 * p), 6) AS p FROM {_STEP}")
+def momentum_chain(spark, d):
+    steps = optim.chain(optim.clip_updates(0.05), optim.trace(nesterov=True), optim.add_decayed_weights(), optim.scale_by_learning_rate(0.1))
+    return optim.apply_updates(_parameters(spark, d, "t"), steps, 1).select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"))

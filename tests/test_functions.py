@@ -157,3 +157,70 @@ def test_images(spark):
     rgb = spark.createDataFrame([(0.2, 0.5, 0.9), (0.3, 0.3, 0.3)], "r double, g double, b double")
     back = images.hsv_to_rgb(images.rgb_to_hsv(rgb)).collect()
     np.testing.assert_allclose([list(r) for r in back], [[0.2, 0.5, 0.9], [0.3, 0.3, 0.3]], atol=1e-12)
+
+
+def test_optimiser_chains_follow_numpy_over_steps(spark):
+    rng = np.random.default_rng(5)
+    p, m, v = rng.normal(size=6), np.zeros(6), np.zeros(6)
+    df = spark.createDataFrame([(i, i // 3, float(x), 0.0, 0.0) for i, x in enumerate(p)], "i int, tensor int, p double, m double, v double")
+    for step in (1, 2, 3):
+        g = rng.normal(size=6)
+        df = df.withColumn("g", F.element_at(vec(*g), F.col("i") + 1))
+        df = optim.apply_updates(df, optim.lamb(lambda k: optim.constant(0.1 / k), by=["tensor"]), step)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        u = m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + 0.01 * p
+        ratio = np.repeat([np.linalg.norm(p[k : k + 3]) / (np.linalg.norm(u[k : k + 3]) + 1e-6) for k in (0, 3)], 3)
+        p = p - 0.1 / step * ratio * u
+        df = spark.createDataFrame(df.drop("g").collect(), "tensor int, i int, p double, m double, v double")
+    assert [r["p"] for r in df.orderBy("i").collect()] == pytest.approx(p.tolist())
+
+
+def test_steps_that_are_not_finite_change_nothing(spark):
+    rows = [(0, 1.0, 2.0, 0.5, 0), (0, 1.0, math.inf, 0.5, 0), (1, 1.0, 2.0, 0.5, 3), (2, 1.0, None, 0.5, 0)]
+    df = spark.createDataFrame(rows, "tensor int, p double, g double, t double, bad int")
+    step = optim.apply_if_finite(optim.chain(optim.trace(0.5), optim.scale_by_learning_rate(0.1)), ["t"], ["tensor"])
+    got = {(r["tensor"], r["p"], r["t"], r["bad"]) for r in optim.apply_updates(df, step, 1).collect()}
+    assert got == {(0, 1.0, 0.5, 1), (1, 1.0 - 0.1 * 2.25, 2.25, 0), (2, None, None, 0)}
+
+
+def test_lars_takes_momentum_decay_and_trust(spark):
+    df = spark.createDataFrame([(3.0, 1.0, 2.0), (4.0, -1.0, 0.0)], "p double, g double, t double")
+    got = [r["p"] for r in optim.apply_updates(df, optim.lars(0.1), 1).orderBy("p").collect()]
+    p, t = np.array([3.0, 4.0]), 0.9 * np.array([2.0, 0.0]) + np.array([1.0, -1.0])
+    u = t + 0.01 * p
+    assert got == pytest.approx(sorted(p - 0.1 * u * 5 / (np.linalg.norm(u) + 1e-6)))
+
+
+def test_along_axis_and_equality(spark):
+    cells = lambda m, kind="double": spark.createDataFrame([(i, j, x) for i, r in enumerate(m) for j, x in enumerate(r)], f"i int, j int, v {kind}")
+    t = cells([[4.0, 1.0, 2.0], [3.0, 5.0, 6.0]])
+    taken = coo.take_along_axis(t, cells([[1, 0], [0, 9]], "int"), "j")
+    assert sorted(map(tuple, taken.collect())) == [(0, 0, 1.0), (0, 1, 4.0), (1, 0, 3.0)]
+    put = coo.put_along_axis(t, cells([[1, 1], [0, 2]], "int"), cells([[7.0, 8.0], [9.0, 0.0]]), "j")
+    assert coo.array_equal(put, cells([[4.0, 8.0, 2.0], [9.0, 5.0, 0.0]])).first()["equal"]
+    for other in ([[4.0, 1.0, 2.0]], [[4.0, 1.0, 2.0], [3.0, 5.0, math.nan]]):
+        assert not coo.array_equal(t, cells(other)).first()["equal"]
+        assert not coo.array_equal(cells(other), t).first()["equal"]
+    assert coo.array_equal(t.limit(0), t.limit(0)).first()["equal"]
+    got = one(spark, V.array_equal(vec(1, 2), vec(1, 2)), V.array_equal(vec(1), vec(1, 2)), V.array_equal(vec("nan"), vec("nan")), V.array_equal(F.array(), F.array()), V.broadcast_to(vec(1, 2), 2))
+    assert tuple(got) == (True, False, False, True, [[1.0, 2.0], [1.0, 2.0]])
+
+
+def test_categorical_draws_by_probability(spark):
+    t = spark.range(20_000).select(V.categorical(vec(math.log(0.7), math.log(0.2), math.log(0.1)), F.col("id"), 3).alias("k"))
+    n = {r["k"]: r["count"] / 20_000 for r in t.groupBy("k").count().collect()}
+    assert n[0] == pytest.approx(0.7, abs=0.02) and n[1] == pytest.approx(0.2, abs=0.02) and n[2] == pytest.approx(0.1, abs=0.02)
+
+
+def test_transforms_along_several_axes(spark):
+    x = np.random.default_rng(2).normal(size=(3, 4))
+    m, flat = F.array(*(vec(*r) for r in x)), vec(*x.ravel())
+    z = lambda v: np.array([complex(c["re"], c["im"]) for c in v])
+    got = one(spark, linalg.fft2(m), linalg.rfft2(m), linalg.irfft2(linalg.rfft2(m)), linalg.ifft2(linalg.fft2(m)), linalg.fftn(flat, (3, 2, 2)), linalg.ifftn(linalg.fftn(flat, (3, 2, 2)), (3, 2, 2)), linalg.irfftn(linalg.rfftn(flat, (2, 3, 2)), (2, 3, 2)), linalg.dctn(flat, (3, 4)), linalg.idctn(linalg.dctn(flat, (3, 4)), (3, 4)), linalg.idstn(linalg.dstn(flat, (3, 4)), (3, 4)))
+    assert np.allclose([z(r) for r in got[0]], np.fft.fft2(x)) and np.allclose([z(r) for r in got[1]], np.fft.rfft2(x))
+    assert np.allclose(got[2], x) and np.allclose([z(r) for r in got[3]], x)
+    assert np.allclose(z(got[4]), np.fft.fftn(x.reshape(3, 2, 2)).ravel())
+    assert np.allclose(z(got[5]), x.ravel()) and np.allclose(got[6], x.ravel())
+    k = lambda n: 2 * np.cos(np.pi * np.arange(n)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))
+    assert np.allclose(got[7], (k(3) @ x @ k(4).T).ravel())
+    assert np.allclose(got[8], x.ravel()) and np.allclose(got[9], x.ravel())
