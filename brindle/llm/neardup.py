@@ -11,9 +11,9 @@ confirmed on the full shingle sets.
 A list of at most ``small`` sets compares all its pairs. In a longer list
 every set meets the list's leader, the set whose values are the most frequent;
 so most of a group of n near copies costs about n comparisons. Lists that are
-one component then are done. The sets of the others are compared by blocks
-(tiles): signatures, then full sets by matrix products, between different
-components only. A tile returns a spanning forest, never its pairs. So no link
+one component then are done. The sets of each of the others are compared by
+blocks (tiles): signatures, then full sets by matrix products, between
+different components only. A tile returns a spanning forest, never its pairs. So no link
 between components is lost.
 
 The miss rate of the signature test at similarity exactly 0.75 is below 1e-6
@@ -167,13 +167,11 @@ def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
     long = post.where(F.col("n") > small).select("key", "id")
     comp = components(found, "a", "b")
     marked = long.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    split = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("head")).where("low < high")
-    marked = materialize(marked.join(split.select("key", "head"), "key"), "split")
+    split = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    marked = materialize(marked.join(split.select("key"), "key"), "split")
     if marked.isEmpty():
         return found
-    groups = components(marked.select("id", "head").distinct(), "id", "head")
-    rest = marked.select("id", "comp").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
-    rest = materialize(rest.join(reps.select("id", "sig"), "id"), "rest")
+    rest = materialize(marked.withColumnRenamed("key", "grp").join(reps.select("id", "sig"), "id"), "rest")
     return found.union(materialize(_tiled(rest, docs, id_col, text_col, matches, n, percent), "links"))
 
 
@@ -282,17 +280,18 @@ def _tiles(rows: DataFrame, size, settle) -> DataFrame:
 
 
 def _tiled(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches: int, n: int, percent: int) -> DataFrame:
-    """(a, b): links between components of one group (id, comp, grp, sig), enough to join all that are linked.
+    """(a, b): links between components of one list (id, comp, grp, sig), enough to join all that are linked.
 
-    Lists chain unlike sets into large groups, so signatures alone are compared
-    first: what they connect are small groups of likes, in which the full sets
-    are compared.
+    Lists hold unlike sets, so signatures alone are compared first, list by
+    list: what they connect are small groups of likes, in which the full sets
+    are compared. Lists aren't chained into groups: these would tend towards
+    the whole table as it grows, and with them each row's tiles.
     """
     alike = materialize(_tiles(rest, None, lambda left, right, same: _alike(left, right, matches, same)), "alike")
     if alike.isEmpty():
         return alike
     refined = components(alike, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    likes = rest.drop("grp").join(refined, "id")
+    likes = rest.drop("grp").join(refined, "id").dropDuplicates(["id"])
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     likes = materialize(likes, "likes")
     full = materialize(_shingle_sets(only(source, likes, "id"), n).join(likes, "id"), "likes-sets")

@@ -40,6 +40,29 @@ def test_tiles_find_what_leaders_miss(spark):
     assert {r["component_id"] for r in neardup.near_duplicates(docs, small=2).collect()} == {0}
 
 
+def test_tiles_hold_one_list_each(spark, monkeypatch):
+    """Lists that share sets with one another aren't chained: what tiles compare grows with the longest list, not with the table."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(10**6, size=n))
+    lines = [words(12) for _ in range(17)]
+    texts = [f"{lines[i]} {lines[i + 1]} {words(14)}" for i in range(16) for _ in range(8)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[::9]]
+    sets = [shingles(t) for t in texts]
+    seen, whole, tiles = [], [], neardup._tiles
+
+    def tapped(rows, *rest):
+        if "set" not in rows.columns:
+            seen.append(rows.groupBy("grp").count().agg(F.max("count")).first()[0])
+            whole.append(rows.select("id").distinct().count())
+        return tiles(rows, *rest)
+
+    monkeypatch.setattr(neardup, "_tiles", tapped)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == classes(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    assert seen and max(seen) <= 2 * 8 + 4 < max(whole) // 2  # a line stands in 16 texts and their few copies
+
+
 def test_near_duplicates_edge_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).columns == empty.columns
