@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, free, is_small, materialize, mix, only, shingles, text_buffers, words
+from .common import chunks, components, free, is_small, materialize, mix, only, release, shingles, text_buffers, words
 
 BUCKETS = 1 << 18
 SIGNATURE = "id long, n_shingles long, set_a long, set_b long, sig array<int>"
@@ -153,9 +153,10 @@ def _colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
 
 def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, matches: int, n: int, percent: int, small: int) -> DataFrame | None:
     """Confirmed (a, b) links that connect all that is linked, between distinct shingle sets."""
-    post = materialize(postings(reps, k, matches), "postings")
-    lists = post.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", F.xxhash64("id").alias("p"), "id")).alias("lead")).where("n > 1")
-    post = materialize(post.join(lists.select("key", "n", F.col("lead.id").alias("lead")), "key"), "lists")
+    posted = materialize(postings(reps, k, matches), "postings")
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", F.xxhash64("id").alias("p"), "id")).alias("lead")).where("n > 1")
+    post = materialize(posted.join(lists.select("key", "n", F.col("lead.id").alias("lead")), "key"), "lists")
+    release(posted)
     short = post.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     crossed = short.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
     starred = post.where(F.col("n") > small).where("id != lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
@@ -298,24 +299,33 @@ def _tiled(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, matches
     return _tiles(full, F.octet_length("set"), lambda left, right, same: _tile_links(left, right, matches, percent, same))
 
 
-def _close(left: tuple, right: tuple, matches: int, same: bool) -> np.ndarray:
-    """Whether signatures collide often enough and components differ, for all pairs of two blocks (ids, components, signatures, sets)."""
+#: Rows of a block that are compared with the other block at once: all pairs of two blocks take hundreds of MB.
+STRIP_ROWS = 256
+
+
+def _close(left: tuple, right: tuple, matches: int, same: bool):
+    """Yield (rows of left, rows of right) of the pairs of two blocks (ids, components, signatures, sets) whose signatures collide often enough and whose components differ, strip by strip."""
     (_, ca, ga, _), (_, cb, gb, _) = left, right
-    met = np.zeros((len(ca), len(cb)), np.int8)
-    for c in range(ga.shape[1]):
-        met += ga[:, c][:, None] == gb[:, c]
-    close = (met >= matches) & (ca[:, None] != cb)
-    return np.triu(close, 1) if same else close
+    for low in range(0, len(ca), STRIP_ROWS):
+        rows = slice(low, low + STRIP_ROWS)
+        met = np.zeros((len(ca[rows]), len(cb)), np.int8)
+        for c in range(ga.shape[1]):
+            met += ga[rows, c][:, None] == gb[:, c]
+        close = (met >= matches) & (ca[rows][:, None] != cb)
+        x, y = np.nonzero(np.triu(close, 1 + low) if same else close)
+        if len(x):
+            yield x + low, y
 
 
 def _alike(left: tuple, right: tuple, matches: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, over ids, of the pairs whose signatures collide often enough."""
     from .embeddings import Forest
 
-    x, y = np.nonzero(_close(left, right, matches, same))
     nodes, at = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+    ia, ib = at[: len(left[0])], at[len(left[0]) :]
     forest = Forest(len(nodes))
-    forest.join(at[: len(left[0])][x], at[len(left[0]) :][y])
+    for x, y in _close(left, right, matches, same):
+        forest.join(ia[x], ib[y])
     moved = np.flatnonzero(forest.parent != np.arange(len(nodes)))
     return nodes[forest.parent[moved]], nodes[moved]
 
@@ -326,17 +336,17 @@ def _tile_links(left: tuple, right: tuple, matches: int, percent: int, same: boo
 
     (_, ca, _, sa), (_, cb, _, sb) = left, right
     na, nb = (np.array([len(x) for x in s], np.int64) for s in (sa, sb))
-    close = _close(left, right, matches, same)
-    close &= np.minimum(na[:, None], nb) * 100 >= percent * np.maximum(na[:, None], nb)
-    x, y = np.nonzero(close)
-    none = np.zeros(0, np.int64)
-    if not len(x):
-        return none, none
-    both = _intersections(sa, sb, x, y)
-    ok = 100 * both >= percent * (na[x] + nb[y] - both)
     nodes, at = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    ia, ib = at[: len(ca)], at[len(ca) :]
     forest = Forest(len(nodes))
-    forest.join(at[: len(ca)][x[ok]], at[len(ca) :][y[ok]])
+    for x, y in _close(left, right, matches, same):
+        apart = forest.parent[ia[x]] != forest.parent[ib[y]]  # what earlier strips have joined needs no link
+        apart &= np.minimum(na[x], nb[y]) * 100 >= percent * np.maximum(na[x], nb[y])
+        x, y = x[apart], y[apart]
+        if len(x):
+            both = _intersections(sa, sb, x, y)
+            ok = 100 * both >= percent * (na[x] + nb[y] - both)
+            forest.join(ia[x[ok]], ib[y[ok]])
     moved = np.flatnonzero(forest.parent != np.arange(len(nodes)))
     return nodes[forest.parent[moved]], nodes[moved]
 

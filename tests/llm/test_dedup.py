@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,32 @@ def test_tiles_hold_one_list_each(spark, monkeypatch):
     assert seen and max(seen) <= 2 * 8 + 4 < max(whole) // 2  # a line stands in 16 texts and their few copies
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_tiles_of_near_copies_take_little_memory(same):
+    """Two full blocks in which all is alike: their pairs are never held at once, and the forests join what is linked."""
+    rng = np.random.default_rng(3)
+    n = neardup.BLOCK_ROWS
+    base = np.sort(rng.integers(2**63, size=80, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[:k], rng.integers(2**63, size=80 - k, dtype=np.uint64)])) for k in rng.integers(60, 80, size=2 * n)]
+    ids, sig = np.arange(2 * n), np.ones((2 * n, 32), np.int32)
+    left = ids[:n], ids[:n], sig[:n], sets[:n]
+    right = left if same else (ids[n:], ids[n:], sig[n:], sets[n:])
+    tracemalloc.start()
+    x, y = neardup._alike(left, right, 12, same)
+    a, b = neardup._tile_links(left, right, 12, 75, same)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+    assert set(x.tolist()) == {0} and len(y) == (n if same else 2 * n) - 1
+    # Sets of k and m of the base share min(k, m) of it: with the longest on the other side is each one's best chance.
+    shared = [len(np.intersect1d(s, base)) for s in sets]
+    sides = [range(n), range(n) if same else range(n, 2 * n)]
+    best = [max(sides[1], key=shared.__getitem__), max(sides[0], key=shared.__getitem__)]
+    linked = lambda i, j: 100 * min(shared[i], shared[j]) >= 75 * (len(sets[i]) + len(sets[j]) - min(shared[i], shared[j]))
+    want = {i for side, top in zip(sides, best, strict=True) for i in side if i != top and linked(i, top)}
+    assert want <= {*a.tolist(), *b.tolist()}
+
+
 def test_near_duplicates_edge_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).columns == empty.columns
