@@ -199,6 +199,46 @@ def test_passages_cover_all_repeated_runs(spark):
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
+def test_every_run_that_two_texts_share_is_found_and_classed(spark):
+    """Also in a group of near copies with many edits, where neither leaders nor neighbours have it."""
+    docs = documents(spark, 6)
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    places = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            places.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    places = [p for p in places.values() if len({i for i, _ in p}) > 1]
+    found = substring.repeated_passages(docs).collect()
+    spans = {}
+    for r in found:
+        spans.setdefault(r["doc_id"], []).append(r)
+    for p in places:
+        classes = [[(r["class_id"], r["class_start"]) for r in spans.get(i, []) if r["start_word"] <= k and k + 50 <= r["end_word"]] for i, k in p]
+        assert all(classes) and len({c for cs in classes for c in cs}) == 1
+    assert len(places) > 50
+
+
+def test_shared_runs_are_those_of_a_plain_search(spark):
+    """Repetitive texts, runs of exactly the least length, repeats within a text, and keys that are joined by broadcast."""
+    rng = np.random.default_rng(4)
+    texts = [[f"w{x}" for x in rng.integers(0, 2 if i < 3 else 10**9, rng.integers(5, 60))] for i in range(12)]
+    run = texts[5][:12] if len(texts[5]) > 11 else [f"r{i}" for i in range(12)]
+    texts += [[f"a{i}", *run, f"b{i}"] for i in range(4)] + [run[:11] + ["z"], ["x"] * 40, ["x"] * 30 + run + ["y"] + run, ["q"] * 50]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string")
+    places = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 11):
+            places.setdefault(tuple(w[k : k + 12]), []).append((i, k))
+    want = {x for p in places.values() if len({i for i, _ in p}) > 1 for x in p}
+    for hot in (None, 1):
+        rows = substring.shared_runs(docs, 12, hot).collect()
+        got = {(r[c], k) for r in rows for c in "ab" for k in range(r[f"start_{c}"], r[f"end_{c}"] - 11)}
+        assert want <= got and {i for i, _ in got} == {i for i, _ in want}
+        assert all((r["a"], r["start_a"]) < (r["b"], r["start_b"]) for r in rows if r["end_b"] - r["start_b"] == 12)
+        words = {x for i, k in want for x in ((i, k + j) for j in range(12))}
+        assert {(i, k + j) for i, k in got for j in range(12)} == words
+
+
 def test_alignment_bridges_edits():
     a = np.arange(100, dtype=np.uint64)
     b = a.copy()
