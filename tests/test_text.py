@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,13 @@ def test_training(spark):
     assert [(r[0], r[1]) for r in K.train_wordlevel(t, "t", 3, specials=["[UNK]"]).orderBy("id").collect()] == [("[UNK]", 0), ("a", 1), ("b", 2)]
     assert {r["token"]: round(r["prob"], 6) for r in K.train_unigram(t, "t", 2).collect()} == {"a": 0.5, "b": 0.333333}
     assert "##b" not in K.train_wordpiece(t, "t", 10).vocab
+
+
+def test_offsets_of_a_long_text_take_one_pass(spark):
+    text = "é𝒳 word, " * 40_000
+    began = time.monotonic()
+    t = spark.createDataFrame([(text,), (None,), ("",)], "t string").select("t", X.with_offsets("t", X.whitespace("t")).alias("s"))
+    rows = t.select(F.size("s").alias("n"), F.try_element_at("s", F.lit(-1)).alias("last"), X.cut("t", F.col("s")).alias("p")).collect()
+    assert time.monotonic() - began < 60  # by locate and append: minutes
+    assert rows[0]["n"] == 120_000 and rows[0]["p"] == ["é𝒳", "word", ","] * 40_000 and tuple(rows[0]["last"]) == (",", 9 * 40_000 - 2, 9 * 40_000 - 1)
+    assert rows[1]["p"] is None and rows[2]["p"] == []
