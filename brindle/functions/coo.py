@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +160,7 @@ def einsum(subscripts: str, *tensors: DataFrame) -> DataFrame:
     Tensors have one index column a letter, in order, and ``v``; the result has
     the output's letters. Operands are joined pairwise on the letters they share
     and summed as soon as a letter is needed no more, which keeps what is joined next small.
+    Of three or more, the two whose joint rows are fewest by the letters' extents come next.
     """
     left, _, out = subscripts.replace(" ", "").partition("->")
     terms = left.split(",")
@@ -173,17 +176,36 @@ def einsum(subscripts: str, *tensors: DataFrame) -> DataFrame:
             raise ValueError(f"{term} doesn't fit {index}")
         same = reduce(lambda a, b: a & b, (F.col(index[k]) == F.col(index[term.index(c)]) for k, c in enumerate(term) if term.index(c) != k), F.lit(True))
         named.append((list(dict.fromkeys(term)), t.where(same).select(*(F.col(index[term.index(c)]).alias(c) for c in dict.fromkeys(term)), "v")))
-    letters, acc = named[0]
-    for n, (more, t) in enumerate(named[1:], 1):
+    sizes = _extents(named) if len(named) > 2 else {}
+    while len(named) > 1:
+        x, y = min(combinations(range(len(named)), 2), key=lambda p: _joint(named[p[0]][0], named[p[1]][0], sizes)) if len(named) > 2 else (0, 1)
+        (letters, acc), (more, t) = named[x], named[y]
         shared = [c for c in letters if c in more]
         right = t.withColumnRenamed("v", "__b")
         acc = (acc.join(right, shared) if shared else acc.crossJoin(right)).withColumn("v", F.col("v") * F.col("__b")).drop("__b")
         letters = letters + [c for c in more if c not in letters]
-        later = set(out).union(*(x for x, _ in named[n + 1 :]))
-        keep = [c for c in letters if c in later]
+        rest = [n for k, n in enumerate(named) if k not in (x, y)]
+        keep = [c for c in letters if c in set(out).union(*(n for n, _ in rest))]
         if len(keep) < len(letters):
             acc, letters = _summed(acc, keep), keep
-    return _summed(acc, list(out)) if set(letters) != set(out) or len(named) == 1 else acc.select(*out, "v")
+        if not rest:
+            return acc.select(*out, "v")
+        named = [(letters, acc), *rest]
+    return _summed(named[0][1], list(out))
+
+
+def _extents(named: list[tuple[list[str], DataFrame]]) -> dict[str, int]:
+    """About how many values each letter has, for the order of joins only; a letter's first tensor counts."""
+    sizes: dict[str, int] = {}
+    for letters, t in named:
+        if new := [c for c in letters if c not in sizes]:
+            sizes |= t.agg(*(F.approx_count_distinct(c).alias(c) for c in new)).first().asDict()
+    return sizes
+
+
+def _joint(a: list[str], b: list[str], sizes: dict[str, int]) -> tuple[int, int]:
+    """(products that a join makes if tensors are full, letters that only one of them has)."""
+    return prod(max(1, sizes[c]) for c in {*a, *b}), len({*a} ^ {*b})
 
 
 def _summed(t: DataFrame, keep: list[str]) -> DataFrame:

@@ -224,3 +224,15 @@ def test_transforms_along_several_axes(spark):
     k = lambda n: 2 * np.cos(np.pi * np.arange(n)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n))
     assert np.allclose(got[7], (k(3) @ x @ k(4).T).ravel())
     assert np.allclose(got[8], x.ravel()) and np.allclose(got[9], x.ravel())
+
+
+def test_einsum_chain_joins_the_small_operands_first(spark, monkeypatch):
+    a = np.random.default_rng(5).normal(size=(300, 4))
+    t = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(300) for j in range(4)], "i long, j long, v double")
+    kept, summed = [], coo._summed
+    monkeypatch.setattr(coo, "_summed", lambda x, keep: kept.append(sorted(keep)) or summed(x, keep))
+    found = np.zeros((300, 4))
+    for r in coo.einsum("ab,cb,cd->ad", t, t, t).collect():
+        found[r[0], r[1]] = r[2]
+    np.testing.assert_allclose(found, a @ a.T @ a)
+    assert kept == [["b", "d"], ["a", "d"]]  # never a row for each two rows
