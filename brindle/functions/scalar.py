@@ -48,6 +48,13 @@ def is_negative_zero(x) -> Column:
     return (_d(x) == 0) & (_d(x).cast("string") == "-0.0")
 
 
+def round_to(x, digits: int) -> Column:
+    """To decimal digits; the sign of zero stays, as do values that aren't finite."""
+    x = _d(x)
+    rounded = F.round(x, digits)
+    return F.when(isfinite(x), F.when(rounded == 0, x * 0.0).otherwise(rounded)).otherwise(x)
+
+
 def int_div(a, b) -> Column:
     """Integer division towards zero."""
     return F.call_function("div", _c(a), _c(b))

@@ -54,8 +54,7 @@ _elementwise(
 @query("ieee_division", "SELECT o_orderkey, CASE WHEN a = 0 AND b = 0 THEN 'NaN'::DOUBLE WHEN b = 0 AND a > 0 THEN 'Infinity'::DOUBLE WHEN b = 0 THEN '-Infinity'::DOUBLE ELSE round(a / b, 6) END AS dv, CASE WHEN a < 0 THEN 'NaN'::DOUBLE WHEN a = 0 THEN '-Infinity'::DOUBLE ELSE round(ln(a), 6) END AS lg FROM (SELECT o_orderkey, (o_orderkey % 5 - 2)::DOUBLE AS a, (o_orderkey % 3 - 1)::DOUBLE AS b FROM orders)")
 def ieee_division(spark, d):
     t = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 5 - 2).cast("double").alias("a"), (F.col("o_orderkey") % 3 - 1).cast("double").alias("b"))
-    special = lambda x: F.when(S.isfinite(x), F.round(x, 6)).otherwise(x)
-    return t.select("o_orderkey", special(S.div("a", "b")).alias("dv"), special(S.log("a")).alias("lg"))
+    return t.select("o_orderkey", S.round_to(S.div("a", "b"), 6).alias("dv"), S.round_to(S.log("a"), 6).alias("lg"))
 
 
 @query("int_div_mod", "SELECT o_orderkey, ((o_orderkey % 17 - 8) // 3)::BIGINT AS q, ((o_orderkey % 17 - 8) % 3)::BIGINT AS r FROM orders")

@@ -236,3 +236,26 @@ def test_einsum_chain_joins_the_small_operands_first(spark, monkeypatch):
         found[r[0], r[1]] = r[2]
     np.testing.assert_allclose(found, a @ a.T @ a)
     assert kept == [["b", "d"], ["a", "d"]]  # never a row for each two rows
+
+
+def bits(v):
+    return math.copysign(1, v), v
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    got = spark.createDataFrame([(-3e-7,), (-0.0,), (0.0,), (3e-7,), (-1.25,), (math.inf,)], "x double").select(S.round_to("x", 1)).collect()
+    assert [bits(r[0]) for r in got] == [(-1, 0), (-1, 0), (1, 0), (1, 0), (-1, -1.3), (1, math.inf)]
+
+
+def test_ieee_division_agrees_with_sql_in_negative_zeros(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.range(1, 31).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    for name, table, key in (("ieee_division", "orders", "o_orderkey"),):
+        c = duckdb.connect()
+        c.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        want = [str(r) for r in c.execute(f"select * from ({entry.oracle_sql()[name]}) order by {key}").fetchall()]
+        rows = entry.queries()[name](spark, str(tmp_path)).orderBy(key).collect()
+        assert "-0.0" in str(want) and [str(tuple(r)) for r in rows] == want
