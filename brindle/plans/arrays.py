@@ -154,7 +154,7 @@ def one_hot(spark, d):
 def patches_correlate(spark, d):
     eight = F.slice("e", 1, 8)
     k = F.array(F.lit(0.5), F.lit(1.0), F.lit(0.25))
-    return _vec(spark, d).select("vec_id", V.extract_patches(eight, 4, 4).alias("pt"), F.transform(V.correlate(F.slice("e", 1, 5), k), lambda x: F.round(x, 6)).alias("co"), V.maximum_filter(eight, 4).alias("mx"))
+    return _vec(spark, d).select("vec_id", V.extract_patches(eight, 4, 4).alias("pt"), F.transform(V.correlate(F.slice("e", 1, 5), k), lambda x: S.round_to(x, 6)).alias("co"), V.maximum_filter(eight, 4).alias("mx"))
 
 
 @query("nonzero_compress", "SELECT vec_id, list_transform(list_filter(range(0, len(embedding)), lambda i: embedding[i + 1] > 0.2), lambda i: i::INT) AS at, list_filter(embedding, lambda x: x > 0.2) AS v FROM embeddings")

@@ -247,13 +247,15 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert [bits(r[0]) for r in got] == [(-1, 0), (-1, 0), (1, 0), (1, 0), (-1, -1.3), (1, math.inf)]
 
 
-def test_ieee_division_agrees_with_sql_in_negative_zeros(spark, tmp_path):
+def test_patches_correlate_and_ieee_division_agree_with_sql_in_negative_zeros(spark, tmp_path):
     import duckdb
 
     import __spark_entry__ as entry
 
+    vectors = [(1, [-5e-7, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0], 0), (2, [0.0, 0.0, 1e-9, -1e-8, 0.0, 0.0, -0.5, 0.5], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.range(1, 31).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
-    for name, table, key in (("ieee_division", "orders", "o_orderkey"),):
+    for name, table, key in (("patches_correlate", "embeddings", "vec_id"), ("ieee_division", "orders", "o_orderkey")):
         c = duckdb.connect()
         c.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
         want = [str(r) for r in c.execute(f"select * from ({entry.oracle_sql()[name]}) order by {key}").fetchall()]
