@@ -1,8 +1,10 @@
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import merges as M
 from brindle.functions import text as X
 from brindle.functions import tokenizers as K
 
@@ -126,3 +128,25 @@ def test_offsets_of_a_long_text_take_one_pass(spark):
     assert time.monotonic() - began < 60  # by locate and append: minutes
     assert rows[0]["n"] == 120_000 and rows[0]["p"] == ["é𝒳", "word", ","] * 40_000 and tuple(rows[0]["last"]) == (",", 9 * 40_000 - 2, 9 * 40_000 - 1)
     assert rows[1]["p"] is None and rows[2]["p"] == []
+
+
+@pytest.mark.parametrize(("options", "lower"), [({}, 2), ({"prefix": "##", "specials": ["[UNK]"]}, 8)])
+def test_merges_from_a_table_are_those_of_the_words_at_once(spark, options, lower):
+    draw = random.Random(3)
+    words = {"".join(draw.choice("aaabbcdé𝒳") for _ in range(draw.randint(1, 9))): draw.randint(1, 30) for _ in range(300)}
+    vocab, found = K.merges_of(words, 40, **options)
+    got = M.merges_of_table(spark.createDataFrame(list(words.items()), "word string, n long").repartition(3), 40, lower=lower, **options)
+    assert got[1] == found and list(got[0].items()) == list(vocab.items()) and len(found) > 15
+
+
+def test_many_words_are_not_collected(spark, monkeypatch):
+    t = spark.createDataFrame([("ab abc abc ab b",), ("abd ab",)], "t string")
+    want = K.train_bpe(t, "t", 7)
+    monkeypatch.setattr(K, "DRIVER_WORDS", 2)
+    monkeypatch.setattr(K, "merges_of", None)  # the way that needs all words on the driver
+    got = K.train_bpe(t, "t", 7)
+    assert (got.vocab, got.merges) == (want.vocab, want.merges) and want.merges
+    tok = K.Tokenizer(got, pre=X.whitespace_split)
+    rows = t.unionByName(spark.createDataFrame([(None,), ("",), ("zab  b",)], "t string")).select(tok.encode_ids("t").alias("i")).select("i", tok.decode("i").alias("t")).collect()
+    assert [r["t"] for r in rows] == ["ababcabcabb", "abdab", None, "", "abb"] and rows[2]["i"] is None
+    assert rows[0]["i"] == [i for w in "ab abc abc ab b".split() for i, *_ in got.tokenize(w)]
